@@ -40,8 +40,10 @@ HEADING = (
 )
 SECTION_LINE = re.compile(rf"(?i)[ \t]*(?:\d+[.)]?[ \t]*)?{HEADING}\b[^\n]{{0,20}}")
 CLAIM_START = re.compile(rb"[ \t]*\d{1,3}[ \t]*[.)][ \t]")
-FEATURES = 256
-BLANK = b" \t\r\n"
+FEATURES = 128
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\r\n")] = True
+DIGITS = frozenset(b"0123456789")
 _END = np.zeros(256, bool)
 _END[list(b".!?;:")] = True
 _CLOSE = np.zeros(256, bool)
@@ -53,25 +55,20 @@ _OPEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789\"([\xe2")] = True
 def boundaries(data: bytes, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes at which a piece may end, each before white space, and their kinds."""
     at, kind = [], []
-    last = 0
-    for i in np.flatnonzero(raw == 10).tolist():
-        if i < last:
-            continue
-        j, k = i, i + 1
-        while j > 0 and data[j - 1] in BLANK:
-            j -= 1
-        while k < len(data) and data[k] in BLANK:
-            k += 1
-        last = k
-        if j == 0 or k >= len(data):
-            continue
-        stop = data.find(b"\n", k, k + 80)
-        line = data[k : stop if stop >= 0 else k + 80]
-        if len(line) < 70 and SECTION_LINE.fullmatch(line.decode("utf-8", "ignore").strip()):
+    solid = np.flatnonzero(~_BLANK[raw])
+    place = np.searchsorted(solid, np.flatnonzero(raw == 10))
+    place = place[(place > 0) & (place < len(solid))]
+    if len(place) > 1:
+        place = place[np.r_[True, place[1:] != place[:-1]]]  # line ends in one gap
+    left, right = (solid[place - 1] + 1).tolist(), solid[place].tolist()
+    left.append(int(solid[-1]) + 1 if len(solid) else 0)
+    for i, k in enumerate(right):
+        j, stop = left[i], left[i + 1]
+        if stop - k < 70 and SECTION_LINE.fullmatch(data[k:stop].decode("utf-8", "ignore")):
             sort = SECTION
-        elif CLAIM_START.match(data, k):
+        elif data[k] in DIGITS and CLAIM_START.match(data, k):
             sort = CLAIM
-        elif data.count(b"\n", j, k) > 1 or data[j - 1] in b".!?;:":
+        elif data[j - 1] in b".!?;:" or data.count(b"\n", j, k) > 1:
             sort = PARAGRAPH
         else:
             sort = SENTENCE
@@ -94,13 +91,13 @@ def boundaries(data: bytes, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def valley_depths(features: np.ndarray, content: np.ndarray, token_cut: np.ndarray, block: int = 4) -> np.ndarray:
     """How deep the lexical similarity dips at each boundary, against the peaks on both sides.
 
-    features: a feature of each token; content: the tokens that carry meaning.
+    content: the tokens that carry meaning; features: a feature of each of them.
     """
     n = len(token_cut)
     if n == 0:
         return np.zeros(0)
     unit = np.searchsorted(token_cut, content, side="right") + 1
-    counts = np.bincount(unit * FEATURES + features[content], minlength=(n + 2) * FEATURES).reshape(n + 2, FEATURES).astype(np.float32)
+    counts = np.bincount(unit * FEATURES + features, minlength=(n + 2) * FEATURES).reshape(n + 2, FEATURES).astype(np.float32)
     running = np.cumsum(counts, axis=0)
     i = np.arange(1, n + 1)
     left = running[i] - running[np.maximum(i - block, 0)]
@@ -121,25 +118,25 @@ def _climb(s: np.ndarray) -> np.ndarray:
 
 def cut_text(text: str, tok: Tokenizer, limit: int, overlap: int, least: float) -> list[tuple[int, int, int, int, str]]:
     """(start, end, tokens, overlap, kind of cut) of each piece, in characters."""
-    ids = np.array(tok.encode(text), np.int64)
+    ids = tok.encode(text)
     n = len(ids)
     if n <= limit:
         return [(0, len(text), n, 0, KINDS[5])]
     data = text.encode("utf-8", "surrogatepass")
     raw = np.frombuffer(data, np.uint8)
+    size_of = tok.length[ids]
     start_byte = np.zeros(n + 1, np.int64)  # byte at which token i begins
-    np.cumsum(tok.length[ids], out=start_byte[1:])
+    np.cumsum(size_of, out=start_byte[1:])
     begins = (raw & 0xC0) != 0x80
-    chars = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum(begins, out=chars[1:])
-    whole = np.r_[begins[start_byte[:-1]], True]  # tokens that begin a character
-    opens = np.r_[tok.opens[ids], True]
+    whole, opens = np.ones(n + 1, bool), np.ones(n + 1, bool)
+    whole[:n] = begins[start_byte[:-1]]  # tokens that begin a character
+    opens[:n] = tok.opens[ids]
     cuts, kinds = boundaries(data, raw)
     token_cut = np.searchsorted(start_byte, cuts)
     exact = start_byte[token_cut] == cuts
     cuts, kinds, token_cut = cuts[exact], kinds[exact], token_cut[exact]
-    content = np.flatnonzero(tok.length[ids] >= 4)
-    depth = valley_depths(ids * 2654435761 % 4294967296 % FEATURES, content, token_cut) + BONUS[kinds]
+    content = np.flatnonzero(size_of >= 4)
+    depth = valley_depths(tok.feature[ids[content]], content, token_cut) + BONUS[kinds]
     pieces: list[tuple[int, int, int, int, str]] = []
     begin, shared = 0, 0
     while True:
@@ -171,9 +168,9 @@ def cut_text(text: str, tok: Tokenizer, limit: int, overlap: int, least: float)
                 break
             end -= max(1, size - limit)
             kind = KINDS[0]
-        pieces.append((int(chars[s]), int(chars[e]), size, shared, kind))
+        pieces.append((s, e, size, shared, kind))
         if end >= n:
-            return pieces
+            break
         # the next piece begins at the last word that gives the full overlap, or at a token in an unbroken run
         back = max(end - overlap, begin + 1)
         near = np.flatnonzero(opens[max(begin + 1, back - 64) : back + 1]) if overlap else np.zeros(0, np.int64)
@@ -183,6 +180,14 @@ def cut_text(text: str, tok: Tokenizer, limit: int, overlap: int, least: float)
         if overlap == 0:
             start = end
         begin, shared = start, end - start
+    if len(data) == len(text):
+        return pieces
+    points = sorted({x for p in pieces for x in p[:2]})  # bytes to characters
+    char, at, count = {}, 0, 0
+    for x in points:
+        count += int(np.count_nonzero(begins[at:x]))
+        char[x], at = count, x
+    return [(char[s], char[e], *rest) for s, e, *rest in pieces]
 
 
 def split_documents(documents: DataFrame, *, limit: int = 512, overlap: int = 64, least: float = 0.5, tokenizer_file: str | None = None) -> DataFrame:

@@ -18,6 +18,10 @@ def rank_file(path: str | None = None) -> str:
     return path or os.path.join(TOKENIZERS, RANKS)
 
 
+#: Characters of lines that a worker remembers.
+MEMORY = 12_000_000
+
+
 class Tokenizer:
     """Token ids of texts, and for each id its bytes."""
 
@@ -35,11 +39,44 @@ class Tokenizer:
             self.length[i] = len(b)
             self.opens[i] = b[:1] in (b" ", b"\n")
 
-    def encode(self, text: str) -> list[int]:
-        return self.encoding.encode_ordinary(text)
+        #: one of 128 features for counting words
+        self.feature = (np.arange(size, dtype=np.int64) * 2654435761 % 4294967296) >> 25
+        self.known: dict[str, np.ndarray] = {}
+        self.room = MEMORY
+
+    def _line(self, line: str) -> np.ndarray:
+        """Token ids of a line; lines that come again aren't encoded again."""
+        ids = self.known.get(line)
+        if ids is None:
+            ids = np.array(self.encoding.encode_ordinary(line), np.int32)
+            self.room -= len(line) + 60
+            if self.room < 0:
+                self.known.clear()
+                self.room = MEMORY
+            self.known[line] = ids
+        return ids
+
+    def _lines(self, text: str) -> list[np.ndarray]:
+        """Token ids line by line. A line begins with the line end before it, where that is the last of the white space: there the pattern always cuts."""
+        out, held = [], ""
+        for i, part in enumerate(text.split("\n")):
+            if i == 0:
+                held = part
+            elif part and not part[0].isspace():
+                out.append(self._line(held))
+                held = "\n" + part
+            else:
+                held += "\n" + part
+        out.append(self._line(held))
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        """Token ids."""
+        lines = self._lines(text)
+        return lines[0] if len(lines) == 1 else np.concatenate(lines)
 
     def count(self, text: str) -> int:
-        return len(self.encoding.encode_ordinary(text))
+        return sum(map(len, self._lines(text)))
 
 
 @lru_cache(4)
