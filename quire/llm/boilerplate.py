@@ -27,7 +27,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textform import LIMIT, canonical_codepoints, codepoints, subset, suspicious_rows
+from .textform import LIMIT, canonical_codepoints, codepoints, slices, subset, suspicious_rows
 
 LINES = "site string, doc_id bigint, block_id string, page_index int, line_no bigint, is_last boolean, key bigint"
 
@@ -94,7 +94,7 @@ def page_lines(blocks: DataFrame, least_letters: int) -> DataFrame:
     """One row per line with enough letters: where it stands and the hash of its letters."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, "raw_text"):
             get = lambda name: batch.column(batch.schema.get_field_index(name))
             texts = get("raw_text")
             cps, offsets = codepoints(texts)

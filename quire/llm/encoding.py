@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textform import codepoints, rows_of, subset
+from .textform import codepoints, rows_of, slices
 
 REPLACEMENT = 0xFFFD
 # Character classes for pairs: code points one by one in these ranges, the rest by blocks of 256.
@@ -59,7 +59,7 @@ def pair_counts(texts: DataFrame, column: str) -> DataFrame:
     def run(batches):
         table, k = classes()
         total = np.zeros(k * k, np.int64)
-        for batch in batches:
+        for batch in slices(batches, 0):
             cps, offsets = codepoints(batch.column(0))
             if len(cps) < 2:
                 continue
@@ -333,7 +333,7 @@ def find_garbled(texts: DataFrame, column: str, model: PairModel) -> DataFrame:
 
     def run(batches):
         repairer = Repairer(shared.value)
-        for batch in batches:
+        for batch in slices(batches, column):
             column_texts = batch.column(batch.schema.get_field_index(column))
             cps, offsets = codepoints(column_texts)
             if len(cps) < 2:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textform import LIMIT, canonical_codepoints, codepoints, rows_of, subset, suspicious_rows
+from .textform import LIMIT, canonical_codepoints, codepoints, rows_of, slices, subset, suspicious_rows
 
 WINDOW = 7
 NUMBER, UNIT, NAME, LITERAL = 1, 2, 3, 16  # template symbols; literals follow
@@ -273,7 +273,7 @@ def find_leaks(documents: DataFrame, eval_items: DataFrame, *, least_words: int
 
         def run(batches, index=index):
             items = index.value
-            for batch in batches:
+            for batch in slices(batches, 1):
                 doc = batch.column(0).to_numpy(zero_copy_only=False)
                 key, number, before = words(batch.column(1))
                 if len(key) < WINDOW or not len(items.templates):

@@ -165,6 +165,19 @@ def to_arrow(cps: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(ends[offsets].tobytes()), pa.py_buffer(data))
 
 
+def slices(batches, column: str | int, most: int = 4_000_000):
+    """Batches cut so that each holds about ``most`` bytes of a text column, or one longer text."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        _, offsets = buffers(batch.column(batch.schema.get_field_index(column) if isinstance(column, str) else column))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def rows_of(positions: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The row of each position."""
     return np.searchsorted(offsets, positions, side="right") - 1
@@ -348,7 +361,7 @@ def canonicalize(df: DataFrame, column: str, out: str = "canonical", flag: str =
         raise ValueError("out must differ from column")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, column):
             texts = batch.column(batch.schema.get_field_index(column))
             new, flags = canonical_array(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, new.cast(pa.string()), pa.array(flags)], names=[*batch.schema.names, out, flag])
