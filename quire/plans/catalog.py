@@ -5,9 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.markup import inline
+from ..operators import document, grids, layout, prose
 from ..operators.multivalue import packed_values
+from ..sources import sinks
 from ..sources.tables import table
+from . import oracle
+from .recovery import Recovery, image_captions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,9 +32,95 @@ def p3_values(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)
 
 
+def _documents(name: str, *columns: str, **options) -> Query:
+    """A query over a stage of the recovery."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        stage = getattr(Recovery.of(spark, d, heading_line=True, **options), name)
+        return stage.select(*columns) if columns else stage
+
+    return run
+
+
+def blocks_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks once each, with their length and number of lines."""
+    text = F.col("raw_text")
+    return Recovery.of(spark, d).scanned.select("doc_id", "block_id", "page_index", F.length(text).cast("bigint").alias("chars"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("line_count"))
+
+
+def page_number_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    return Recovery.of(spark, d).artifacts.where("artifact_type = 'page_number'").select("doc_id", "block_id", "page_index", "number")
+
+
+def repeated_margin_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    return Recovery.of(spark, d).artifacts.where("artifact_type <> 'page_number'").select("doc_id", "block_id", "artifact_type", "text")
+
+
+def artifact_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks removed from each document, by kind."""
+    return Recovery.of(spark, d).artifacts.groupBy("doc_id", "artifact_type").agg(F.count("block_id").alias("removed"))
+
+
+def kept_margin_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return layout.kept_margin_blocks(Recovery.of(spark, d).kept)
+
+
+def delimited_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of all consistently delimited blocks."""
+    return grids.table_cells(grids.table_blocks(Recovery.of(spark, d).scanned))
+
+
+def line_repairs(spark: SparkSession, d: str) -> DataFrame:
+    return prose.line_repairs(Recovery.of(spark, d).scanned.withColumn("read_seq", F.lit(0)))
+
+
+def warnings_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """The first eight different warnings of each document, as its report shows them."""
+    parts = []
+    for stage, name in enumerate(("doc_ir", "blocks", "elements")):
+        each = table(spark, d, name, "doc_id", "warnings").select("doc_id", F.lit(stage).alias("stage"), F.posexplode("warnings").alias("p", "w"))
+        parts.append(each.select("doc_id", "stage", (F.col("p") + 1).alias("seq"), "w.*"))
+    return document.distinct_warnings(layout.union_all(*parts))
+
+
+def linkified_text(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs as markup with web links."""
+    return table(spark, d, "paragraphs", "doc_id", "element_id", "text").where("text <> '' and not contains(text, 'http')").dropDuplicates(["doc_id", "element_id"]).select("doc_id", "element_id", inline(F.col("text")).alias("markup"))
+
+
+def xhtml_elements(spark: SparkSession, d: str) -> DataFrame:
+    r = Recovery.of(spark, d, heading_line=True)
+    return sinks.markup_elements(r.elements, sinks.toc_markup(r.linked_entries))
+
+
+def epub_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Size and hash of each document's e-book."""
+    return Recovery.of(spark, d, heading_line=True).epubs.select("doc_id", F.octet_length("epub").cast("bigint").alias("bytes"), F.sha2("epub", 256).alias("sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p3_values": p3_values}
+    own = (p3_found, p3_values, blocks_scan, page_number_artifacts, repeated_margin_artifacts, artifact_counts, kept_margin_blocks, delimited_tables, line_repairs, image_captions, warnings_distinct, linkified_text, xhtml_elements, epub_bytes)
+    return {f.__name__: f for f in own} | {
+        "page_profile": _documents("pages"),
+        "doc_profile": _documents("profile"),
+        "kept_blocks": _documents("kept", "doc_id", "block_id"),
+        "reading_order": reading_order,
+        "toc_pages": _documents("contents_pages"),
+        "toc_entries": _documents("contents_entries"),
+        "toc_targets": _documents("linked_entries", "doc_id", "entry_no", "title", "page_label", "target_page", "target_id"),
+        "row_bands": _documents("banded", "doc_id", "block_id", "band_no"),
+        "table_runs": _documents("runs", "doc_id", "run_no", "band_no", "page_index"),
+        "band_table_text": _documents("run_texts"),
+        "table_elements": _documents("tables", "doc_id", "block_id", "source_format"),
+        "rebuilt_paragraphs": _documents("paragraphs", "doc_id", "element_id", "text", "is_highlighted", "page_index", "hyphen_repairs", "wrap_repairs"),
+        "elements_sorted": _documents("elements", "doc_id", "elem_seq", "element_id", "element_type", "text", "page_index", "merged"),
+        "quality_report": _documents("report"),
+    }
+
+
+def reading_order(spark: SparkSession, d: str) -> DataFrame:
+    return Recovery.of(spark, d).ordered.select("doc_id", "block_id", F.col("read_seq").cast("bigint").alias("read_seq"))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
