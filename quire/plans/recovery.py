@@ -4,24 +4,30 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import contents, document, grids, images, layout, prose
 from ..sources import sinks
-from ..sources.tables import table
+from ..sources.tables import shared_folder, table
 
 
 def held(df: DataFrame) -> DataFrame:
-    """A table that several later stages read; lost parts are computed again from its lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """A table that several later stages read, written to the folder all executors share.
+
+    This cuts the plan, which would else hold each stage many times over, and
+    the lineage; the placing of rows is kept, so that later windows by document
+    need no exchange.
+    """
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 class Recovery:
     """Stages of the recovery; each is a table, computed when it is asked for.
 
     Stages that several others read are held, so that a query computes each once.
+    Asking for a stage runs the held ones before it.
 
     ``keep_artifacts`` keeps page numbers and repeated margin texts,
     ``max_pages`` reads only the first pages of each document (0 or null: all),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,10 +20,10 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as set in spark.checkpoint.dir; a local one only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        import tempfile
-
         folder = tempfile.mkdtemp(prefix="quire-")
-        spark.sparkContext.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
