@@ -194,31 +194,39 @@ def improbable_segments(score: np.ndarray) -> list[tuple[int, int]]:
     return [(int(s), int(e)) for s, e, _, _ in stack]
 
 
+def _decoded(word: str, wrong: str, accept) -> str | None:
+    """A word with the byte sequences in it decoded whose characters are accepted; None if there are none."""
+    seen, out, at = _as_bytes(word, wrong), [], 0
+    for m in UTF8.finditer(seen):
+        try:
+            char = m.group().encode("latin-1").decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        if accept(char, word[m.start() : m.end()]):
+            out.append(word[at : m.start()] + char)
+            at = m.end()
+    return "".join(out) + word[at:] if out else None
+
+
 def _repair_utf8(word: str, model: PairModel) -> tuple[str | None, float]:
-    """The best repair of byte sequences that were read one byte at a time, and its gain in nats."""
+    """The best repair of byte sequences that were read one byte at a time, once or twice, and its gain in nats."""
+
+    def final(char: str, read: str) -> bool:
+        if "\x80" <= char < "\xc0" and all("\u0400" <= c < "\u0500" and c.isalpha() for c in read):
+            return False  # two Cyrillic letters aren't a sign
+        return model.knows(char) or "\x80" <= char < "\xc0"
+
     best, most, before = None, 0.0, None
     for wrong in WRONG_FOR_UTF8:
-        seen = _as_bytes(word, wrong)
-        out, at = [], 0
-        for m in UTF8.finditer(seen):
-            try:
-                char = m.group().encode("latin-1").decode("utf-8")
-            except UnicodeDecodeError:
+        high = _to_bytes(wrong)
+        between = _decoded(word, wrong, lambda char, _: ord(char) in high)  # characters that may be bytes again
+        for new in (_decoded(word, wrong, final), between and _decoded(between, wrong, final)):
+            if not new or not _one_script(new):
                 continue
-            if not char.isalpha() and word[m.start() : m.end()].isalpha():
-                continue  # letters aren't a sign
-            if model.knows(char) or "\x80" <= char < "\xc0":
-                out.append(word[at : m.start()] + char)
-                at = m.end()
-        if not out:
-            continue
-        new = "".join(out) + word[at:]
-        if not _one_script(new):
-            continue
-        before = model.log_probability(word) if before is None else before
-        gain = model.log_probability(new) - before
-        if gain > most:
-            best, most = new, gain
+            before = model.log_probability(word) if before is None else before
+            gain = model.log_probability(new) - before
+            if gain > most:
+                best, most = new, gain
     return best, most
 
 
