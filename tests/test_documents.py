@@ -217,3 +217,29 @@ def test_files(spark, tmp_path):
 
 def test_gap_rule(spark):
     assert prose.HYPHEN and grids.SPLITS[0][0] == "tab"
+
+
+def test_stream(spark, tmp_path):
+    from quire.streaming.ingest import arrivals, read_blocks, recover_stream
+
+    df = make(spark, body_and(["1", "2", "3"])).withColumn("site", F.lit("s")).withColumn("ingested_at", F.to_timestamp(F.lit("2024-01-01 10:00:00")))
+    df.write.parquet(str(tmp_path / "in"))
+    docs = spark.createDataFrame([(1, "s", None, None)], DOCS)
+    recover_stream(read_blocks(spark, str(tmp_path / "in"), df.schema), docs, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    q = arrivals(read_blocks(spark, str(tmp_path / "in"), df.schema)).writeStream.format("memory").queryName("arrived").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [(r.site, r.blocks, r.documents) for r in spark.table("arrived").collect()] == [("s", 6, 1)]
+
+
+def test_command_line(spark, tmp_path):
+    from quire.__main__ import main, validate
+
+    src = tmp_path / "in"
+    make(spark, body_and(["1", "2", "3"])).write.parquet(str(src / "blocks.parquet"))
+    spark.createDataFrame([(1, "s", {"title": "T"}, 3)], DOCS).write.parquet(str(src / "doc_ir.parquet"))
+    assert main(["convert", str(src), "--out", str(tmp_path / "books"), "--report", str(tmp_path / "report"), "--debug-dir", str(tmp_path / "debug")]) == 0
+    assert spark.read.parquet(str(tmp_path / "books")).count() == 1
+    assert '"page_numbers_removed":3' in spark.read.text(str(tmp_path / "report")).first().value
+    assert main(["profile", str(src), "--out", str(tmp_path / "p")]) == main(["extract", str(src), "--out", str(tmp_path / "e"), "--max-pages", "1"]) == 0
+    assert validate(str(tmp_path / "none.epub"))[0] == 1
