@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .text import BULLETS, SPACE, escape, strip
 
-URL = r"https?://(?=[^\s<>'\x22])(?:[^\s<>'\x22]*[^\s<>'\x22.,;:!?)\]}])?"
+_NOT_URL = SPACE[1:-1] + r"<>'\x22"
+URL = rf"https?://(?=[^{_NOT_URL}])(?:[^{_NOT_URL}]*[^{_NOT_URL}.,;:!?)\]}}])?"
 
 
 def inline(text: Column) -> Column:

@@ -85,7 +85,7 @@ def warnings_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 def linkified_text(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs as markup with web links."""
-    return table(spark, d, "paragraphs", "doc_id", "element_id", "text").where("text <> '' and not contains(text, 'http')").dropDuplicates(["doc_id", "element_id"]).select("doc_id", "element_id", inline(F.col("text")).alias("markup"))
+    return table(spark, d, "paragraphs", "doc_id", "element_id", "text").where("text <> ''").dropDuplicates(["doc_id", "element_id"]).select("doc_id", "element_id", inline(F.col("text")).alias("markup"))
 
 
 def xhtml_elements(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Document operators on small cases with known results."""
 
 import io
+import re
 import zipfile
+from html import escape
 from xml.etree import ElementTree
 
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.markup import element_markup, inline
 from quire.operators import contents, document, grids, images, layout, prose
+from quire.plans import catalog
 from quire.plans.recovery import Recovery
 from quire.sources import files, sinks
 
@@ -243,3 +246,19 @@ def test_command_line(spark, tmp_path):
     assert '"page_numbers_removed":3' in spark.read.text(str(tmp_path / "report")).first().value
     assert main(["profile", str(src), "--out", str(tmp_path / "p")]) == main(["extract", str(src), "--out", str(tmp_path / "e"), "--max-pages", "1"]) == 0
     assert validate(str(tmp_path / "none.epub"))[0] == 1
+
+
+def test_links_of_paragraphs(spark, tmp_path):
+    def linked(text):
+        out, at = [], 0
+        for m in re.finditer(r"https?://[^\s<>'\"]+", text):
+            url = m.group(0).rstrip(".,;:!?)\"]}")
+            out += [escape(text[at : m.start()], False), f'<a href="{escape(url)}">{escape(url, False)}</a>', escape(m.group(0)[len(url) :], False)]
+            at = m.end()
+        return "".join(out) + escape(text[at:], False)
+
+    texts = ["plain & <b>", "http://a.b/c?x=1&y=2.", "see (https://x.org/y), http://z.de/a;b!", "http://a.b\u00a0next", "http://a.b\u2003http://c.d", "https://...", "http and https:// alone", '"http://q.r"', "two\nhttp://l.m/n\nlines"]
+    rows = [(1, f"e{i}", t) for i, t in enumerate([*texts, "", None])] + [(1, "e1", texts[1])]
+    spark.createDataFrame(rows, "doc_id bigint, element_id string, text string").write.parquet(str(tmp_path / "paragraphs.parquet"))
+    got = catalog.linkified_text(spark, str(tmp_path)).collect()
+    assert len(got) == len(texts) and {r.element_id: r.markup for r in got} == {f"e{i}": linked(t) for i, t in enumerate(texts)}
