@@ -78,8 +78,16 @@ def distinct_warnings(warnings: DataFrame, most: int | None = 8) -> DataFrame:
     return out if most is None else out.where(F.col("warning_no") < most)
 
 
-def quality_report(profile: DataFrame, artifacts: DataFrame, elements: DataFrame, repairs: DataFrame, order_warnings: DataFrame) -> DataFrame:
-    """Actions, score, status and verdict of each document."""
+def given_warnings(*parts: DataFrame) -> DataFrame:
+    """What each document's warnings amount to, once each: (doc_id, given_warnings, unsupported_warnings, given_errors). ``parts``: doc_id, warnings."""
+    each = union_all(*[p.select("doc_id", F.explode("warnings").alias("w")) for p in parts]).select("doc_id", "w.*")
+    once = each.groupBy("doc_id", "code", "message", "page_index").agg(F.count_if(F.col("severity") == "error").alias("errors"))
+    unsupported = F.count_if(F.col("code") == "image_not_preserved")
+    return once.groupBy("doc_id").agg(F.count("doc_id").alias("given_warnings"), unsupported.alias("unsupported_warnings"), F.sum("errors").alias("given_errors"))
+
+
+def quality_report(profile: DataFrame, artifacts: DataFrame, elements: DataFrame, repairs: DataFrame, order_warnings: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """Actions, score, status and verdict of each document; ``given``: the ``given_warnings`` it came with."""
     removed = artifacts.groupBy("doc_id").agg(*[F.count_if(F.col("artifact_type") == t).alias(f"{t}s_removed") for t in ("page_number", "header", "footer")])
     made = elements.groupBy("doc_id").agg(
         F.count_if(F.col("element_type").isin("paragraph", "callout")).alias("total_paragraphs"), F.count_if((F.col("element_type") == "table") & F.col("cell_rows").isNotNull()).alias("tables_rendered_semantically"),
@@ -88,14 +96,15 @@ def quality_report(profile: DataFrame, artifacts: DataFrame, elements: DataFrame
     fixed = repairs.groupBy("doc_id").agg(F.sum("hyphen_repairs").alias("hyphenations_repaired"), F.sum("wrap_repairs").alias("line_wraps_repaired"))
     orders = order_warnings.groupBy("doc_id").agg(F.count("page_index").alias("order_warnings"))
     joined = profile
-    for other in (removed, made, fixed, orders):
+    for other in (removed, made, fixed, orders) + ((given,) if given is not None else ()):
         joined = joined.join(other, "doc_id", "left")
     counts = ("page_numbers_removed", "headers_removed", "footers_removed", "total_paragraphs", "tables_rendered_semantically", "table_fallbacks_rendered", "element_warnings", "hyphenations_repaired", "line_wraps_repaired", "order_warnings")
-    filled = joined.select(*profile.columns, *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts])
+    came = ("given_warnings", "unsupported_warnings", "given_errors")
+    filled = joined.select(*profile.columns, *[(F.coalesce(c, F.lit(0)) if c in joined.columns else F.lit(0)).cast("bigint").alias(c) for c in counts + came])
     ratio = F.when(F.col("page_count") > 0, F.bround(F.col("no_text_page_count") / F.col("page_count") * 25)).otherwise(0)
     multi = F.col("likely_layout") == "possible_multi_column"
-    score = 100 - ratio - F.when(multi, 20).otherwise(0) - F.least(F.lit(20), F.col("order_warnings") * 5) - F.when(F.col("extracted_char_count") == 0, 30).otherwise(0)
-    warned = F.col("order_warnings") + F.col("element_warnings") + F.when(multi, 1).otherwise(0) + F.col("no_text_page_count")
-    scored = filled.withColumn("quality_score", F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("bigint")).withColumn("status", F.when(warned > 0, "warning").otherwise("ok"))
-    verdict = F.when((F.col("quality_score") >= 90) & (F.col("status") == "ok"), "ok").when(F.col("quality_score") >= 70, "warning").otherwise("error")
-    return scored.withColumn("verdict", verdict)
+    score = 100 - ratio - F.when(multi, 20).otherwise(0) - F.least(F.lit(20), F.col("order_warnings") * 5) - F.least(F.lit(15), F.col("unsupported_warnings") * 5) - F.when(F.col("extracted_char_count") == 0, 30).otherwise(0)
+    warned = F.col("given_warnings") + F.col("order_warnings") + F.col("element_warnings") + F.when(multi, 1).otherwise(0) + F.col("no_text_page_count")
+    scored = filled.withColumn("quality_score", F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("bigint")).withColumn("status", F.when(F.col("given_errors") > 0, "error").when(warned > 0, "warning").otherwise("ok"))
+    verdict = F.when(F.col("status") == "error", "error").when((F.col("quality_score") >= 90) & (F.col("status") == "ok"), "ok").when(F.col("quality_score") >= 70, "warning").otherwise("error")
+    return scored.withColumn("verdict", verdict).drop(*came)

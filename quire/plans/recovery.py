@@ -36,12 +36,14 @@ class Recovery:
 
     def __init__(self, blocks: DataFrame, doc_ir: DataFrame, *, keep_artifacts: bool = False, dehyphenate: bool = True, max_pages: int | None = None, heading_line: bool = False) -> None:
         self.keep_artifacts, self.dehyphenate, self.heading_line = keep_artifacts, dehyphenate, heading_line
-        self.doc_ir = doc_ir
+        self.doc_ir, self.max_pages = doc_ir, max_pages
         self.blocks = blocks.where(F.col("page_index") < max_pages) if max_pages else blocks
 
     @classmethod
     def of(cls, spark: SparkSession, folder: str, **options) -> Recovery:
-        return cls(table(spark, folder, "blocks", *layout.KEEP), table(spark, folder, "doc_ir", "doc_id", "site", "metadata", "page_count"), **options)
+        kept = {"blocks": layout.KEEP, "doc_ir": ("doc_id", "site", "metadata", "page_count")}
+        blocks, doc_ir = [(df := table(spark, folder, name)).select(*columns, *{"warnings"} & {*df.columns}) for name, columns in kept.items()]
+        return cls(blocks, doc_ir, **options)
 
     @cached_property
     def scanned(self) -> DataFrame:
@@ -127,9 +129,16 @@ class Recovery:
     def order_warnings(self) -> DataFrame:
         return self.pages.where("likely_layout = 'possible_multi_column'").select("doc_id", "page_index")
 
+    @cached_property
+    def given_warnings(self) -> DataFrame | None:
+        """Warnings that documents and blocks came with, of the pages that are read; null where the tables have none."""
+        read = F.filter("warnings", lambda w: w["page_index"].isNull() | (w["page_index"] < self.max_pages)) if self.max_pages else F.col("warnings")
+        parts = [df.select("doc_id", read.alias("warnings")) for df in (self.doc_ir, self.blocks) if "warnings" in df.columns]
+        return document.given_warnings(*parts) if parts else None
+
     @cached_property
     def report(self) -> DataFrame:
-        return document.quality_report(self.profile, self.artifacts, self.elements, self.paragraphs, self.order_warnings)
+        return document.quality_report(self.profile, self.artifacts, self.elements, self.paragraphs, self.order_warnings, self.given_warnings)
 
     @cached_property
     def bodies(self) -> DataFrame:

@@ -262,3 +262,14 @@ def test_links_of_paragraphs(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, element_id string, text string").write.parquet(str(tmp_path / "paragraphs.parquet"))
     got = catalog.linkified_text(spark, str(tmp_path)).collect()
     assert len(got) == len(texts) and {r.element_id: r.markup for r in got} == {f"e{i}": linked(t) for i, t in enumerate(texts)}
+
+
+def test_report_of_given_warnings(spark):
+    lost = [("image_not_preserved", f"Image on page {p} was dropped.", "warning", p - 1) for p in range(1, 6)]
+    cases = {1: ([lost[0]], [lost[0]]), 2: (lost[:2], lost[1:5]), 3: (None, [("max_pages_applied", "m", "info", None)]), 4: ([("conversion_failed", "m", "error", None)], None), 5: ([], None)}
+    warn = ", warnings array<struct<code:string,message:string,severity:string,page_index:int>>"
+    docs = spark.createDataFrame([(d, "s", None, 1, w) for d, (w, _) in cases.items()], DOCS + warn)
+    blocks = spark.createDataFrame([(d, "a", 0, 300.0, 400.0, "Some text.", (40.0, 100.0, 260.0, 112.0), "test", False, 1.0, w) for d, (_, w) in cases.items()] * 2, BLOCKS + warn)
+    score = lambda r: {x.doc_id: (x.quality_score, x.status, x.verdict) for x in r.report.collect()}
+    assert score(Recovery(blocks, docs)) == {1: (95, "warning", "warning"), 2: (85, "warning", "warning"), 3: (100, "warning", "warning"), 4: (100, "error", "error"), 5: (100, "ok", "ok")}
+    assert score(Recovery(blocks, docs, max_pages=2))[2] == (90, "warning", "warning")
