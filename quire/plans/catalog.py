@@ -77,7 +77,7 @@ def line_repairs(spark: SparkSession, d: str) -> DataFrame:
 def warnings_distinct(spark: SparkSession, d: str) -> DataFrame:
     """The first eight different warnings of each document, as its report shows them."""
     parts = []
-    for stage, name in enumerate(("doc_ir", "blocks", "elements")):
+    for stage, name in enumerate(("doc_ir", "blocks", "elements", "paragraphs")):
         each = table(spark, d, name, "doc_id", "warnings").select("doc_id", F.lit(stage).alias("stage"), F.posexplode("warnings").alias("p", "w"))
         parts.append(each.select("doc_id", "stage", (F.col("p") + 1).alias("seq"), "w.*"))
     return document.distinct_warnings(layout.union_all(*parts))

@@ -273,3 +273,11 @@ def test_report_of_given_warnings(spark):
     score = lambda r: {x.doc_id: (x.quality_score, x.status, x.verdict) for x in r.report.collect()}
     assert score(Recovery(blocks, docs)) == {1: (95, "warning", "warning"), 2: (85, "warning", "warning"), 3: (100, "warning", "warning"), 4: (100, "error", "error"), 5: (100, "ok", "ok")}
     assert score(Recovery(blocks, docs, max_pages=2))[2] == (90, "warning", "warning")
+
+
+def test_warnings_of_all_tables(spark, tmp_path):
+    held = {"doc_ir": [("a", "m", "info", None)], "blocks": [("b", "m", "info", 0), ("a", "m", "info", None)], "elements": [("c", "m", "warning", 1)], "paragraphs": [("c", "m", "warning", 1), ("d", "m", "warning", 2)]}
+    for name, warnings in held.items():
+        spark.createDataFrame([(1, warnings), (1, warnings), (2, None)], "doc_id bigint, warnings array<struct<code:string,message:string,severity:string,page_index:int>>").write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = sorted(tuple(r) for r in catalog.warnings_distinct(spark, str(tmp_path)).collect())
+    assert got == [(1, 0, "a", "m", "info", None), (1, 1, "b", "m", "info", 0), (1, 2, "c", "m", "warning", 1), (1, 3, "d", "m", "warning", 2)]
