@@ -53,7 +53,7 @@ def _grid(rows: Column, kind: str, attr: Column) -> Column:
     return F.concat(F.lit(f'<figure class="{kind}"'), attr, F.lit("><table>"), head, rest, F.lit("</table></figure>"))
 
 
-def element_markup(kind: Column, element_id: Column, text: Column, cell_rows: Column) -> Column:
+def element_markup(kind: Column, element_id: Column, text: Column, cell_rows: Column, image_src: Column | None = None) -> Column:
     """Markup of one element. Rows of a table have a header; text between bars on every line is shown as a table."""
     attr, text = _attr(element_id), F.coalesce(text, F.lit(""))
     item = F.concat(F.lit("<li"), attr, F.lit(">"), inline(without_bullet(text)), F.lit("</li>"))
@@ -65,4 +65,6 @@ def element_markup(kind: Column, element_id: Column, text: Column, cell_rows: Co
     visible = (F.size(barred) >= 2) & F.forall(barred, lambda r: (F.size(r) >= 2) & F.forall(r, lambda c: c != ""))
     plain = F.concat(F.lit('<figure class="table-fallback"'), attr, F.lit("><pre>"), escape(text), F.lit("</pre></figure>"))
     table = F.when(cell_rows.isNotNull(), _grid(cell_rows, "table", attr)).when(visible, _grid(barred, "table-fallback", attr)).otherwise(plain)
-    return F.when((kind == "paragraph") & is_list_item(text), item).when(kind == "paragraph", para).when(kind == "callout", callout).when(kind == "table", table)
+    src = F.lit(None).cast("string") if image_src is None else image_src
+    image = F.when(src.isNotNull(), F.concat(F.lit('<figure class="image"'), attr, F.lit('><img src="'), escape(src, True), F.lit('" alt="'), escape(text, True), F.lit('" /></figure>')))
+    return F.when((kind == "paragraph") & is_list_item(text), item).when(kind == "paragraph", para).when(kind == "callout", callout).when(kind == "table", table).when(kind == "image", image)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .layout import union_all
 
-COLUMNS = ("doc_id", "element_id", "element_type", "text", "page_index", "x0", "y0", "last_page", "last_x0", "last_y1", "confidence", "warning", "source_format", "cell_rows")
+COLUMNS = ("doc_id", "element_id", "element_type", "text", "page_index", "x0", "y0", "last_page", "last_x0", "last_y1", "confidence", "warning", "source_format", "cell_rows", "image_file")
 #: Text of the element that holds all entries of contents, whatever the language.
 CONTENTS_TEXT = "Inhaltsverzeichnis"
 
@@ -51,6 +51,12 @@ def contents_elements(ordered: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+def image_elements(images: DataFrame) -> DataFrame:
+    """Images where they stand; their text is the alternative one."""
+    alt = F.coalesce("alt_text", F.format_string("Image from page %d", F.col("page_index") + 1))
+    return _typed(images, element_id=F.col("image_id"), element_type=F.lit("image"), text=alt, last_page=F.col("page_index"), last_x0=F.col("x0"), last_y1=F.col("y1"), confidence=F.lit(1.0), image_file=F.col("file_name"))
+
+
 def sort_elements(*parts: DataFrame) -> DataFrame:
     """All elements in the order of their places: adds elem_seq from 0. Elements without a place come last."""
     order = Window.partitionBy("doc_id").orderBy(F.coalesce("page_index", F.lit(10**9)), F.bround(F.coalesce("y0", F.lit(0.0)), 1), F.bround(F.coalesce("x0", F.lit(0.0)), 1), "element_id")

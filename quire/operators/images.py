@@ -46,4 +46,4 @@ def images_of_elements(elements: DataFrame) -> DataFrame:
     """Images as placed by document elements, once each; sizes in pixels and of pages aren't known there."""
     ref = F.get("source_refs", F.lit(0))
     box = [ref["bbox"][c].alias(c) for c in ("x0", "y0", "x1", "y1")]
-    return elements.where("image is not null and size(source_refs) > 0").select("doc_id", F.col("image.image_id").alias("image_id"), ref["page_index"].alias("page_index"), *box, F.col("image.media_type").alias("media_type")).dropDuplicates(["doc_id", "image_id"])
+    return elements.where("image is not null and size(source_refs) > 0").select("doc_id", F.col("image.image_id").alias("image_id"), ref["page_index"].alias("page_index"), *box, *[F.col(f"image.{c}").alias(c) for c in ("media_type", "file_name", "alt_text")]).dropDuplicates(["doc_id", "image_id"])

@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..operators import contents, document, grids, images, layout, prose
 from ..sources import sinks
@@ -31,19 +32,27 @@ class Recovery:
 
     ``keep_artifacts`` keeps page numbers and repeated margin texts,
     ``max_pages`` reads only the first pages of each document (0 or null: all),
-    ``heading_line`` takes the first line of a block for a heading of contents.
+    ``heading_line`` takes the first line of a block for a heading of contents,
+    ``images`` are placed among the elements; books hold those with ``data``.
     """
 
-    def __init__(self, blocks: DataFrame, doc_ir: DataFrame, *, keep_artifacts: bool = False, dehyphenate: bool = True, max_pages: int | None = None, heading_line: bool = False) -> None:
+    def __init__(self, blocks: DataFrame, doc_ir: DataFrame, *, keep_artifacts: bool = False, dehyphenate: bool = True, max_pages: int | None = None, heading_line: bool = False, images: DataFrame | None = None) -> None:
         self.keep_artifacts, self.dehyphenate, self.heading_line = keep_artifacts, dehyphenate, heading_line
         self.doc_ir, self.max_pages = doc_ir, max_pages
         self.blocks = blocks.where(F.col("page_index") < max_pages) if max_pages else blocks
+        self.images = images.where(F.col("page_index") < max_pages) if max_pages and images is not None else images
 
     @classmethod
     def of(cls, spark: SparkSession, folder: str, **options) -> Recovery:
         kept = {"blocks": layout.KEEP, "doc_ir": ("doc_id", "site", "metadata", "page_count")}
         blocks, doc_ir = [(df := table(spark, folder, name)).select(*columns, *{"warnings"} & {*df.columns}) for name, columns in kept.items()]
-        return cls(blocks, doc_ir, **options)
+        try:
+            placed = images.images_of_elements(table(spark, folder, "elements", "doc_id", "image", "source_refs"))
+        except AnalysisException as e:  # a folder without elements
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            placed = None
+        return cls(blocks, doc_ir, images=placed, **options)
 
     @cached_property
     def scanned(self) -> DataFrame:
@@ -117,6 +126,7 @@ class Recovery:
     def elements(self) -> DataFrame:
         return held(document.merge_callouts(document.sort_elements(
             document.text_elements(self.paragraphs), document.table_elements(self.tables), document.run_elements(self.banded, self.runs, self.run_texts), document.contents_elements(self.ordered, self.contents_pages),
+            *((document.image_elements(self.images),) if self.images is not None else ()),
         )))
 
     @cached_property
@@ -140,14 +150,26 @@ class Recovery:
     def report(self) -> DataFrame:
         return document.quality_report(self.profile, self.artifacts, self.elements, self.paragraphs, self.order_warnings, self.given_warnings)
 
+    @cached_property
+    def packed_images(self) -> DataFrame | None:
+        """Images whose bytes are known, which books can hold; null where there are none."""
+        return self.images.where("data is not null and file_name is not null and media_type is not null") if self.images is not None and "data" in self.images.columns else None
+
     @cached_property
     def bodies(self) -> DataFrame:
+        """Bodies of books: without images that books can't hold."""
+        shown = self.elements
+        if self.packed_images is not None:
+            packed = self.packed_images.select("doc_id", F.col("image_id").alias("element_id"), F.lit("image").alias("element_type"))
+            shown = shown.where("element_type <> 'image'").unionByName(shown.join(packed, ["doc_id", "element_id", "element_type"], "left_semi"))
+        elif self.images is not None:
+            shown = shown.where("element_type <> 'image'")
         titles = self.doc_ir.groupBy("doc_id").agg(F.max(F.col("metadata")["title"]).alias("title"))
-        return sinks.document_markup(self.elements, titles, sinks.toc_markup(self.linked_entries))
+        return sinks.document_markup(shown, titles, sinks.toc_markup(self.linked_entries), image_prefix="../")
 
     @cached_property
     def epubs(self) -> DataFrame:
-        return sinks.epubs(self.bodies, self.linked_entries)
+        return sinks.epubs(self.bodies, self.linked_entries, self.packed_images)
 
 
 def image_captions(spark: SparkSession, folder: str) -> DataFrame:

@@ -281,3 +281,20 @@ def test_warnings_of_all_tables(spark, tmp_path):
         spark.createDataFrame([(1, warnings), (1, warnings), (2, None)], "doc_id bigint, warnings array<struct<code:string,message:string,severity:string,page_index:int>>").write.parquet(str(tmp_path / f"{name}.parquet"))
     got = sorted(tuple(r) for r in catalog.warnings_distinct(spark, str(tmp_path)).collect())
     assert got == [(1, 0, "a", "m", "info", None), (1, 1, "b", "m", "info", 0), (1, 2, "c", "m", "warning", 1), (1, 3, "d", "m", "warning", 2)]
+
+
+def test_images_in_documents(spark):
+    schema = "doc_id bigint, image_id string, page_index int, x0 double, y0 double, x1 double, y1 double, media_type string, file_name string, alt_text string, data binary"
+    shown = spark.createDataFrame([(1, "i1", 0, 40.0, 150.0, 260.0, 190.0, "image/png", "images/i1.png", 'A "valve" & arm', b"png"), (1, "i2", 0, 40.0, 300.0, 260.0, 390.0, "image/png", "images/i2.png", None, None)], schema)
+    rows = [("a", 0, "• one", 40, 100, 260, 112), ("b", 0, "• two", 40, 200, 260, 212)]
+    r = recover(spark, rows, images=shown)
+    assert [(x.element_id, x.element_type, x.text) for x in r.elements.orderBy("elem_seq").collect()][1::2] == [("i1", "image", 'A "valve" & arm'), ("i2", "image", "Image from page 1")]
+    markup = [x.markup for x in sinks.markup_elements(r.elements).orderBy("elem_seq").collect()]
+    assert markup[1] == '<figure class="image" id="i1"><img src="images/i1.png" alt="A &quot;valve&quot; &amp; arm" /></figure>' and 'alt="Image from page 1"' in markup[3]
+    assert all(x.startswith("<ul") and x.endswith("</ul>") for x in markup[::2])
+    with zipfile.ZipFile(io.BytesIO(bytes(r.epubs.first().epub))) as z:
+        assert z.read("OEBPS/images/i1.png") == b"png" and "OEBPS/images/i2.png" not in z.namelist()
+        assert re.findall(r'<item id="image-1" href="([^"]*)" media-type="([^"]*)"/>', z.read("OEBPS/content.opf").decode()) == [("images/i1.png", "image/png")]
+        ElementTree.fromstring(z.read("OEBPS/content.opf"))
+        assert re.findall('<img src="([^"]*)"', z.read("OEBPS/text/text.xhtml").decode()) == ["../images/i1.png"]
+    assert "<img" not in recover(spark, rows, images=shown.drop("data")).bodies.first().body
