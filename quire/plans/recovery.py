@@ -13,6 +13,10 @@ from ..sources import sinks
 from ..sources.tables import shared_folder, table
 
 
+# Keys of metadata that name the language, the usual one first.
+LANGUAGE_KEYS = ("language", "Language", "lang", "dc:language")
+
+
 def held(df: DataFrame) -> DataFrame:
     """A table that several later stages read, written to the folder all executors share.
 
@@ -164,7 +168,8 @@ class Recovery:
             shown = shown.where("element_type <> 'image'").unionByName(shown.join(packed, ["doc_id", "element_id", "element_type"], "left_semi"))
         elif self.images is not None:
             shown = shown.where("element_type <> 'image'")
-        titles = self.doc_ir.groupBy("doc_id").agg(F.max(F.col("metadata")["title"]).alias("title"))
+        named = F.coalesce(*[F.nullif(F.trim(F.col("metadata")[k]), F.lit("")) for k in LANGUAGE_KEYS])
+        titles = self.doc_ir.groupBy("doc_id").agg(F.max(F.col("metadata")["title"]).alias("title"), F.max(named).alias("language"))
         return sinks.document_markup(shown, titles, sinks.toc_markup(self.linked_entries), image_prefix="../")
 
     @cached_property

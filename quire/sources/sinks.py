@@ -41,10 +41,10 @@ def toc_markup(entries: DataFrame) -> DataFrame:
 
 
 def document_markup(elements: DataFrame, titles: DataFrame, toc: DataFrame | None = None, image_prefix: str = "") -> DataFrame:
-    """The body of each document: (doc_id, title, body)."""
+    """The body of each document: (doc_id, title, language, body). ``titles``: doc_id, title, language; no language is 'en'."""
     parts = markup_elements(elements, toc, image_prefix).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("elem_seq", "markup"))), lambda x: x["markup"]), "\n").alias("inner"))
     title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("Recovered Document"))
-    return parts.join(titles, "doc_id", "left").select("doc_id", title.alias("title"), F.concat(F.lit('<section class="book"><h1>'), escape(title), F.lit("</h1>\n"), F.col("inner"), F.lit("\n</section>")).alias("body"))
+    return parts.join(titles, "doc_id", "left").select("doc_id", title.alias("title"), F.coalesce("language", F.lit("en")).alias("language"), F.concat(F.lit('<section class="book"><h1>'), escape(title), F.lit("</h1>\n"), F.col("inner"), F.lit("\n</section>")).alias("body"))
 
 
 def _page(title: str, body: str, language: str, style: str = "") -> str:
@@ -58,7 +58,7 @@ def epub_bytes(doc_id: int, title: str, body: str, entries: list[tuple[str, str
     """
     from html import escape as esc
 
-    t = esc(title, quote=False)
+    t, language = esc(title, quote=False), esc(language)
     link = lambda target: esc(CHAPTER + (f"#{target}" if target else ""))
     nav = "".join(f'<li><a href="{link(x)}">{esc(n, quote=False)}</a></li>' if x else f"<li><span>{esc(n, quote=False)}</span></li>" for n, x in entries) or f'<li><a href="{CHAPTER}">{t}</a></li>'
     points = [(n, x) for n, x in entries if x] or [(title, None)]
@@ -89,10 +89,10 @@ def epubs(bodies: DataFrame, entries: DataFrame, images: DataFrame | None = None
     listed = entries.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("entry_no", "title", "target_id"))).alias("entries"))
 
     @F.pandas_udf("binary")
-    def make(doc: pd.Series, title: pd.Series, body: pd.Series, toc: pd.Series, shown: pd.Series) -> pd.Series:
+    def make(doc: pd.Series, title: pd.Series, language: pd.Series, body: pd.Series, toc: pd.Series, shown: pd.Series) -> pd.Series:
         entries = [[(e["title"], e["target_id"]) for e in (x if x is not None else [])] for x in toc]
         packed = [[(i["file_name"], i["media_type"], bytes(i["data"])) for i in (x if x is not None else [])] for x in shown]
-        return pd.Series([epub_bytes(d, t, b, e, images=p) for d, t, b, e, p in zip(doc, title, body, entries, packed)])
+        return pd.Series([epub_bytes(d, t, b, e, l, p) for d, t, l, b, e, p in zip(doc, title, language, body, entries, packed)])
 
     kind = "array<struct<file_name:string,media_type:string,data:binary>>"
     joined = bodies.join(listed, "doc_id", "left")
@@ -100,7 +100,7 @@ def epubs(bodies: DataFrame, entries: DataFrame, images: DataFrame | None = None
         joined = joined.withColumn("images", F.lit(None).cast(kind))
     else:
         joined = joined.join(images.groupBy("doc_id").agg(F.collect_list(F.struct("file_name", "media_type", "data")).cast(kind).alias("images")), "doc_id", "left")
-    return joined.select("doc_id", make("doc_id", "title", "body", "entries", "images").alias("epub"))
+    return joined.select("doc_id", make("doc_id", "title", "language", "body", "entries", "images").alias("epub"))
 
 
 def json_rows(df: DataFrame) -> DataFrame:

@@ -298,3 +298,15 @@ def test_images_in_documents(spark):
         ElementTree.fromstring(z.read("OEBPS/content.opf"))
         assert re.findall('<img src="([^"]*)"', z.read("OEBPS/text/text.xhtml").decode()) == ["../images/i1.png"]
     assert "<img" not in recover(spark, rows, images=shown.drop("data")).bodies.first().body
+
+
+def test_language_of_books(spark):
+    named = {1: {"language": "de"}, 2: {"lang": "fr & x", "language": " "}, 3: {"title": "T"}, 4: None, 5: {"dc:language": "ru", "Language": "nl"}}
+    blocks = make(spark, [("a", 0, "Some text.", 40, 100, 260, 112)])
+    blocks = blocks.drop("doc_id").crossJoin(spark.createDataFrame([(d,) for d in named], "doc_id bigint")).select(*blocks.columns)
+    r = Recovery(blocks, spark.createDataFrame([(d, "s", m, 1) for d, m in named.items()], DOCS))
+    for doc, book in [(x.doc_id, bytes(x.epub)) for x in r.epubs.collect()]:
+        language = {1: "de", 2: "fr &amp; x", 3: "en", 4: "en", 5: "nl"}[doc]
+        with zipfile.ZipFile(io.BytesIO(book)) as z:
+            assert f"<dc:language>{language}</dc:language>" in z.read("OEBPS/content.opf").decode()
+            assert all(f'xml:lang="{language}"' in z.read(f"OEBPS/{n}").decode() for n in ("nav.xhtml", "text/text.xhtml"))
