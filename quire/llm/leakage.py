@@ -20,7 +20,6 @@ Null and empty texts leak nothing; a document delivered twice counts once.
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -33,6 +32,7 @@ from .textform import LIMIT, canonical_codepoints, codepoints, rows_of, slices,
 
 WINDOW = 7
 NUMBER, UNIT, NAME, LITERAL = 1, 2, 3, 16  # template symbols; literals follow
+NAMED = 3  # a word of at most so many items is a name
 # Units of time and measure.
 UNITS = frozenset(
     "second seconds minute minutes hour hours day days night nights week weeks fortnight fortnights month months season seasons year years gram grams kilogram kilograms kg g mg mm cm m km litre litres measure measures line lines percent degrees "
@@ -123,21 +123,15 @@ def _roll(symbols: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """Template windows of a block of evaluation items."""
+    """Template windows of a block of evaluation items; ``literal``: hashes of the words that are no names in any block."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]) -> None:
+    def __init__(self, ids: list[int], texts: list[str | None], literal: np.ndarray) -> None:
         key, number, before = words(pa.array([t or "" for t in texts], pa.large_string()))
         self.ids = np.array(ids, np.int64)
         self.words = [key[before[i] : before[i + 1]] for i in range(len(ids))]
-        held = Counter(h for w in self.words for h in set(w.tolist()))
-        rare = max(2, len(ids) // 100)  # words of hardly any item are names
-        unit = set(words(pa.array([" ".join(sorted(UNITS))], pa.large_string()))[0].tolist())
-        vocabulary = np.array(sorted(held), np.uint64)
-        self.vocabulary = vocabulary
-        symbol = np.array([UNIT if h in unit else NAME if held[h] <= rare else LITERAL for h in vocabulary.tolist()], np.int64)
-        literal = symbol == LITERAL
-        symbol[literal] = LITERAL + np.arange(literal.sum())
-        self.symbol = symbol
+        unit = np.unique(words(pa.array([" ".join(sorted(UNITS))], pa.large_string()))[0])
+        self.vocabulary = np.union1d(unit, literal)
+        self.symbol = np.where(np.isin(self.vocabulary, unit), UNIT, LITERAL + np.arange(len(self.vocabulary)))
         template, exact, item, at = [], [], [], []
         for i, w in enumerate(self.words):
             s = self.symbols(w, number[before[i] : before[i + 1]])
@@ -154,8 +148,6 @@ class Items:
         self.template, self.template_item, self.template_at = template[order], item[order], at[order]
 
     def symbols(self, key: np.ndarray, number: np.ndarray) -> np.ndarray:
-        if not len(self.vocabulary):
-            return np.full(len(key), NAME, np.int64)
         i = np.minimum(np.searchsorted(self.vocabulary, key), len(self.vocabulary) - 1)
         out = np.where(self.vocabulary[i] == key, self.symbol[i], NAME)
         return np.where(number, NUMBER, out)
@@ -257,6 +249,19 @@ def _reparameterised(items: Items, key: np.ndarray, symbols: np.ndarray, before:
                 yield int(row[i]), int(item[i]), n, changed
 
 
+def literal_words(items: DataFrame) -> np.ndarray:
+    """Hashes of the words held by more than ``NAMED`` of all items, whatever blocks they are taken in."""
+
+    def held(batches):
+        for batch in batches:
+            if batch.num_rows:
+                key, _, before = words(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(before)))), pa.array(key.view(np.int64))], names=["item_id", "word"])
+
+    found = items.mapInArrow(held, "item_id bigint, word bigint").distinct().groupBy("word").count().where(F.col("count") > NAMED)
+    return np.array([r[0] for r in found.select("word").collect()], np.int64).view(np.uint64)  # bounded by the vocabulary
+
+
 def find_leaks(documents: DataFrame, eval_items: DataFrame, *, least_words: int = 24, per_edit: int = 10, reparameterised: bool = False, block: int = 5_000) -> DataFrame:
     """Every document that holds a passage of an item: (doc_id, item_id, kind, words, edits), a row for each pair and kind.
 
@@ -266,10 +271,11 @@ def find_leaks(documents: DataFrame, eval_items: DataFrame, *, least_words: int
     """
     items = eval_items.select(F.col("item_id").cast("bigint"), "text").where("length(text) > 0")
     blocks = -(-items.count() // block) or 1
+    literal = literal_words(items)
     out = None
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()  # bounded by the size of a block
-        index = documents.sparkSession.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows]))
+        index = documents.sparkSession.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], literal))
 
         def run(batches, index=index):
             items = index.value

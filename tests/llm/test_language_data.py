@@ -231,6 +231,24 @@ def test_leaks(spark):
     assert {(r.doc_id, r.item_id) for r in small.collect()} == {(1, 3), (2, 3), (4, 3), (8, 3)}
 
 
+def test_names_of_any_number_of_items(spark):
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=7))
+    frame = "A narrow {} near {} holds some measures of {} and loses much every week while the keeper of {} writes that the old gate turned green after long frost in {} again"
+    fill = lambda x: frame.format(x, *[word() for _ in range(4)])
+    items = [(i, fill("quokkas" if i < 3 else "wombats" if i < 7 else word())) for i in range(30)]
+    more = [(1000 + i, " ".join(word() for _ in range(30))) for i in range(400)]
+    docs = spark.createDataFrame([(1, fill(word())), (2, fill("quokkas"))], "doc_id bigint, text string")
+
+    def copies(rows, **options):
+        found = leakage.find_leaks(docs, spark.createDataFrame(rows, "item_id bigint, text string"), reparameterised=True, **options)
+        return {tuple(r) for r in found.where("kind = 'reparameterised' and item_id < 1000").collect()}
+
+    alone = copies(items)
+    assert {(d, i) for d, i, *_ in alone} >= {(1, 0), (2, 0), (2, 20)}
+    assert alone == copies(items + more) == copies(items, block=7)
+
+
 def test_passage_against_all_alignments():
     def distance(a, b):
         row = list(range(len(b) + 1))
