@@ -56,7 +56,8 @@ def _variants(spark: SparkSession, d: str) -> DataFrame:
     """Texts that print like ordinary text but are stored in other characters, garbled ones left out."""
     forms = _forms(spark, d)
     keys = ["field_name", "doc_id", "record_id", "entry_no"]
-    found = canonicalize(forms.where(F.octet_length("text") != F.char_length("text")), "text").where("is_variant").dropDuplicates(keys)
+    odd = (F.octet_length("text") != F.char_length("text")) | F.col("text").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
+    found = canonicalize(forms.where(odd), "text").where("is_variant").dropDuplicates(keys)
     garbled = find_garbled(found, "text", _pair_model(forms)).select(*keys)
     return found.join(garbled, keys, "left_anti").select(*keys, "text", "canonical")
 

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-LIMIT = 0x20000  # code points beyond are kept as they are
+LIMIT = 0x20000  # letters and signs beyond are kept as they are
+REACH = 0xE1000  # invisible characters end before it
 LATIN, CYRILLIC, GREEK, OTHER = 1, 2, 3, 4
 
 # Letters of other scripts and the Latin letters they print like.
@@ -39,6 +40,9 @@ GREEK_LOOKALIKES = {
 }
 # Invisible characters outside the format category.
 INVISIBLE_EXTRA = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0)
+VARIATION_SELECTORS = ((0x180B, 0x180D), (0x180F, 0x180F), (0xFE00, 0xFE0F), (0xE0100, 0xE01EF))
+# What ends a line besides the usual line ends (\n is put in their place).
+LINE_ENDS = (0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029)
 LETTER_LOOKALIKE_RANGES = ((0xFF01, 0xFF5E), (0xFFE0, 0xFFE6), (0xFB00, 0xFB06), (0x2160, 0x217F))
 
 
@@ -46,7 +50,7 @@ class Tables:
     """Lookup tables over code points, built by rule from the Unicode database."""
 
     def __init__(self) -> None:
-        n = LIMIT
+        n = REACH
         self.length = np.ones(n, np.uint8)
         self.first = np.arange(n, dtype=np.uint32)
         self.script = np.zeros(n, np.uint8)
@@ -54,14 +58,19 @@ class Tables:
         self.upper = np.zeros(n, bool)
         self.digit = np.zeros(n, bool)
         expansions: dict[int, str] = {}
-        for cp in range(0x80, n):
+        for cp in range(n):
+            cat = unicodedata.category(chr(cp))
+            if cp in LINE_ENDS:
+                self.first[cp] = 0x0A
+            elif cat == "Cf" or (cat == "Cc" and cp not in (0x09, 0x0A, 0x0D)) or cp in INVISIBLE_EXTRA or any(lo <= cp <= hi for lo, hi in VARIATION_SELECTORS):
+                self.length[cp] = 0
+        for cp in range(0x80, LIMIT):
+            if cp in LINE_ENDS or not self.length[cp]:
+                continue
             if 0xD800 <= cp < 0xF900 or 0x3400 <= cp < 0xA000 or 0xAC00 <= cp < 0xD7B0 or 0x10000 <= cp < 0x1D400 or cp >= 0x1D800:
                 continue
             ch = chr(cp)
             cat = unicodedata.category(ch)
-            if cat == "Cf" or cp in INVISIBLE_EXTRA or 0xFE00 <= cp <= 0xFE0F:
-                self.length[cp] = 0
-                continue
             if cat == "Zs":
                 self.first[cp] = 0x20
                 continue
@@ -73,7 +82,7 @@ class Tables:
                 expansions[cp] = unicodedata.normalize("NFKC", ch)
             elif decomposition and decomposition[0] != "<" and " " not in decomposition:
                 expansions[cp] = unicodedata.normalize("NFC", ch)
-        for cp in range(0x41, n):
+        for cp in range(0x41, LIMIT):
             if 0x0600 <= cp < 0x1E00 or 0x2070 <= cp:
                 if not (0x1E00 <= cp < 0x2000 or 0x2C60 <= cp < 0x2C80 or 0xA720 <= cp < 0xA800):
                     continue
@@ -194,17 +203,17 @@ def subset(cps: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.n
 
 def _expand(t: Tables, cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Drop invisible characters and put ordinary ones in place of the rest; also which rows changed."""
-    small = np.minimum(cps, LIMIT - 1)
-    changed = t.changes[small] & (cps < LIMIT)
+    small = np.minimum(cps, REACH - 1)
+    changed = t.changes[small] & (cps < REACH)
     if not changed.any():
         return cps, offsets, np.zeros(len(offsets) - 1, bool)
-    length = np.where(cps < LIMIT, t.length[small], 1).astype(np.int64)
+    length = np.where(cps < REACH, t.length[small], 1).astype(np.int64)
     start = np.zeros(len(cps) + 1, np.int64)
     np.cumsum(length, out=start[1:])
     source = np.repeat(np.arange(len(cps)), length)
     inside = np.arange(start[-1]) - start[source]
     taken = cps[source]
-    out = np.where(taken < LIMIT, t.expansion[np.minimum(taken, LIMIT - 1), inside], taken).astype(np.uint32)
+    out = np.where(taken < REACH, t.expansion[np.minimum(taken, REACH - 1), inside], taken).astype(np.uint32)
     flags = np.zeros(len(offsets) - 1, bool)
     flags[rows_of(np.flatnonzero(changed), offsets)] = True
     return out, start[offsets], flags
@@ -214,7 +223,7 @@ def _compose(t: Tables, cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     """Compose marks with the letters before them, as long as a pair can be composed."""
     flags = np.zeros(len(offsets) - 1, bool)
     while True:
-        marks = np.flatnonzero(t.combining[np.minimum(cps, LIMIT - 1)] > 0)
+        marks = np.flatnonzero(t.combining[np.minimum(cps, REACH - 1)] > 0)
         if len(marks):
             starts = np.isin(marks, offsets[:-1])
             marks = marks[~starts]
@@ -240,7 +249,7 @@ def _compose(t: Tables, cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
 def _unify(t: Tables, cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Move look-alike letters to the script of their word or of its surroundings; also which rows changed."""
     flags = np.zeros(len(offsets) - 1, bool)
-    small = np.minimum(cps, LIMIT - 1)
+    small = np.minimum(cps, REACH - 1)
     script = t.script[small]
     letters = np.flatnonzero(script > 0)
     if not len(letters):
@@ -281,7 +290,7 @@ def _unify(t: Tables, cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 
     after_digit = np.zeros(n, bool)
     inner = first > offsets[token_row]
-    after_digit[inner] = t.digit[np.minimum(cps[first[inner] - 1], LIMIT - 1)]
+    after_digit[inner] = t.digit[np.minimum(cps[first[inner] - 1], REACH - 1)]
     mixed = (((latin > 0) & (cyrillic > 0)) | ((greek_alike > 0) & (latin + cyrillic > 0))) & ~after_digit
     pure_ambiguous = (sure == 0) & (latin_sure == 0) & (cyrillic_sure == 0) & ~after_digit
     target = np.zeros(n, np.uint8)
@@ -304,7 +313,7 @@ def _unify(t: Tables, cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 
     goal = target[token]
     new = np.where(goal == LATIN, t.to_latin[small[letters]], np.where(goal == CYRILLIC, t.to_cyrillic[small[letters]], cps[letters]))
-    new = np.where(cps[letters] < LIMIT, new, cps[letters])
+    new = np.where(cps[letters] < REACH, new, cps[letters])
     moved = new != cps[letters]
     if moved.any():
         cps = cps.copy()
@@ -324,7 +333,7 @@ def canonical_codepoints(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
 
 def suspicious_rows(cps: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     t = tables()
-    hits = np.flatnonzero(t.suspicious[np.minimum(cps, LIMIT - 1)])
+    hits = np.flatnonzero(t.suspicious[np.minimum(cps, REACH - 1)])
     return np.unique(rows_of(hits, offsets)) if len(hits) else np.zeros(0, np.int64)
 
 

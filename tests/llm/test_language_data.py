@@ -8,7 +8,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from quire.llm import encoding, language, leakage, packing, quality, splitting, textform
+from quire.llm import encoding, language, leakage, packing, quality, queries, splitting, textform
 from quire.llm.boilerplate import Boilerplate
 from quire.llm.tokens import rank_file, tokenizer
 
@@ -29,6 +29,24 @@ def test_form(text, form, variant):
     assert new.to_pylist() == ["plain", form, None] and flags.tolist() == [False, variant, False]
 
 
+def test_form_without_invisible_characters():
+    for cp in (*range(0x00, 0x09), *range(0x0E, 0x1C), 0x1F, 0x7F, 0x80, 0x9F, 0xAD, 0x180B, 0x200B, 0xFE0F, 0x110BD, 0x1D173, 0xE0001, 0xE0041, 0xE007F, 0xE0100, 0xE01EF):
+        new, flags = textform.canonical_array(pa.array([f"val{chr(cp)}ve", "valve"]))
+        assert new.to_pylist() == ["valve", "valve"] and flags.tolist() == [True, False], hex(cp)
+    for cp in (0x0B, 0x0C, 0x1C, 0x1E, 0x85, 0x2028, 0x2029):
+        assert textform.canonical_array(pa.array([f"the{chr(cp)}valve"]))[0].to_pylist() == ["the\nvalve"], hex(cp)
+    for ch in "\t\n\r\U00020000\U0002F800\U000F0000\U0010FFFD":
+        assert textform.canonical_array(pa.array([f"a{ch}b"]))[1].tolist() == [False], hex(ord(ch))
+
+
+def test_variants_with_ascii_controls(spark, tmp_path):
+    box = "struct<title:string,toc_level:int,page_label:string,target_id:string>"
+    texts = [EN[0], EN[1].replace("pump", "pu\x07mp"), EN[2].replace(" ", "\t", 1), DE[1], EN[0].replace("valve", "val\x7fve")]
+    spark.createDataFrame([("s", 1, f"b{i}", 0, t) for i, t in enumerate(texts)], BLOCKS).write.parquet(str(tmp_path / "blocks.parquet"))
+    spark.createDataFrame([(1, "e", [])], f"doc_id bigint, element_id string, toc_entries array<{box}>").write.parquet(str(tmp_path / "elements.parquet"))
+    assert {r.record_id for r in queries.p2_found(spark, str(tmp_path)).collect()} == {"b1", "b4"}
+
+
 def test_form_composes_like_unicode():
     rng = random.Random(1)
     texts = ["".join(rng.choice(["a", "e", "o", "u", "n", "c", " ", "́", "̈", "̃", "̧"]) for _ in range(30)) for _ in range(200)]
