@@ -9,8 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import BULLETS, SPACE, escape, strip
+from .text import BULLETS, SPACE, after_first, escape, lstrip, strip
 
+# Class names that style sheets of these documents rely on.
+CLASSES = {
+    "book": "book", "list": "bullet-list", "text": "body-text", "short": "short", "callout": "callout", "callout title": "callout-title", "image": "image",
+    "contents": "pdf-toc", "level": "toc-level-", "page": "toc-page", "table": "table", "kept": "table-fallback",
+}
 _NOT_URL = SPACE[1:-1] + r"<>'\x22"
 URL = rf"https?://(?=[^{_NOT_URL}])(?:[^{_NOT_URL}]*[^{_NOT_URL}.,;:!?)\]}}])?"
 
@@ -30,7 +35,7 @@ def is_short(text: Column) -> Column:
 
 
 def is_list_item(text: Column) -> Column:
-    bare = F.regexp_replace(text, rf"^{SPACE}+", "")
+    bare = lstrip(text)
     return bare.startswith(BULLETS[0]) | bare.startswith(BULLETS[1])
 
 
@@ -38,33 +43,39 @@ def without_bullet(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}*(?:•|â€¢)?{SPACE}*", "")
 
 
-def _attr(element_id: Column) -> Column:
-    return F.when(F.coalesce(element_id, F.lit("")) == "", "").otherwise(F.concat(F.lit(' id="'), escape(element_id, True), F.lit('"')))
+def _element(tag: str, *inner: Column, css: str | None = None, element_id: Column | None = None) -> Column:
+    """An element of markup that is inside of it."""
+    opened = F.lit(f"<{tag}" + (f' class="{CLASSES[css]}"' if css else ""))
+    named = F.lit("")
+    if element_id is not None:
+        named = F.when(F.coalesce(element_id, F.lit("")) == "", "").otherwise(F.concat(F.lit(' id="'), escape(element_id, True), F.lit('"')))
+    return F.concat(opened, named, F.lit(">"), *inner, F.lit(f"</{tag}>"))
 
 
 def _row(cells: Column, tag: str) -> Column:
-    return F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, lambda c: F.concat(F.lit(f"<{tag}>"), inline(F.coalesce(c, F.lit(""))), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
+    return _element("tr", F.array_join(F.transform(cells, lambda c: _element(tag, inline(F.coalesce(c, F.lit(""))))), ""))
 
 
-def _grid(rows: Column, kind: str, attr: Column) -> Column:
-    body = F.slice(rows, 2, 1_000_000)
-    head = F.concat(F.lit("<thead>"), _row(F.get(rows, F.lit(0)), "th"), F.lit("</thead>"))
-    rest = F.when(F.size(rows) > 1, F.concat(F.lit("<tbody>"), F.array_join(F.transform(body, lambda r: _row(r, "td")), ""), F.lit("</tbody>"))).otherwise("")
-    return F.concat(F.lit(f'<figure class="{kind}"'), attr, F.lit("><table>"), head, rest, F.lit("</table></figure>"))
+def _grid(rows: Column, css: str, element_id: Column) -> Column:
+    head = _element("thead", _row(F.get(rows, F.lit(0)), "th"))
+    rest = _element("tbody", F.array_join(F.transform(after_first(rows), lambda r: _row(r, "td")), ""))
+    return _element("figure", _element("table", head, F.when(F.size(rows) > 1, rest).otherwise("")), css=css, element_id=element_id)
 
 
 def element_markup(kind: Column, element_id: Column, text: Column, cell_rows: Column, image_src: Column | None = None) -> Column:
     """Markup of one element. Rows of a table have a header; text between bars on every line is shown as a table."""
-    attr, text = _attr(element_id), F.coalesce(text, F.lit(""))
-    item = F.concat(F.lit("<li"), attr, F.lit(">"), inline(without_bullet(text)), F.lit("</li>"))
-    para = F.concat(F.lit('<p class="'), F.when(is_short(text), "short").otherwise("body-text"), F.lit('"'), attr, F.lit(">"), inline(text), F.lit("</p>"))
+    text = F.coalesce(text, F.lit(""))
+    item = _element("li", inline(without_bullet(text)), element_id=element_id)
+    short, long = (_element("p", inline(text), css=css, element_id=element_id) for css in ("short", "text"))
     parts = F.filter(F.transform(F.split(text, "\n\n"), strip), lambda p: p != "")
-    boxed = F.transform(parts, lambda p, i: F.concat(F.when((i == 0) & is_short(p), '<p class="callout-title">').otherwise("<p>"), inline(p), F.lit("</p>")))
-    callout = F.concat(F.lit('<aside class="callout"'), attr, F.lit(">"), F.array_join(boxed, ""), F.lit("</aside>"))
+    boxed = F.transform(parts, lambda p, i: F.when((i == 0) & is_short(p), _element("p", inline(p), css="callout title")).otherwise(_element("p", inline(p))))
+    callout = _element("aside", F.array_join(boxed, ""), css="callout", element_id=element_id)
     barred = F.transform(F.split(text, "\n"), lambda x: F.transform(F.split(x, r"\|"), strip))
     visible = (F.size(barred) >= 2) & F.forall(barred, lambda r: (F.size(r) >= 2) & F.forall(r, lambda c: c != ""))
-    plain = F.concat(F.lit('<figure class="table-fallback"'), attr, F.lit("><pre>"), escape(text), F.lit("</pre></figure>"))
-    table = F.when(cell_rows.isNotNull(), _grid(cell_rows, "table", attr)).when(visible, _grid(barred, "table-fallback", attr)).otherwise(plain)
+    plain = _element("figure", _element("pre", escape(text)), css="kept", element_id=element_id)
+    table = F.when(cell_rows.isNotNull(), _grid(cell_rows, "table", element_id)).when(visible, _grid(barred, "kept", element_id)).otherwise(plain)
     src = F.lit(None).cast("string") if image_src is None else image_src
-    image = F.when(src.isNotNull(), F.concat(F.lit('<figure class="image"'), attr, F.lit('><img src="'), escape(src, True), F.lit('" alt="'), escape(text, True), F.lit('" /></figure>')))
-    return F.when((kind == "paragraph") & is_list_item(text), item).when(kind == "paragraph", para).when(kind == "callout", callout).when(kind == "table", table).when(kind == "image", image)
+    shown = F.concat(F.lit('<img src="'), escape(src, True), F.lit('" alt="'), escape(text, True), F.lit('" />'))
+    image = F.when(src.isNotNull(), _element("figure", shown, css="image", element_id=element_id))
+    written = F.when(is_list_item(text), item).when(is_short(text), short).otherwise(long)
+    return F.when(kind == "paragraph", written).when(kind == "callout", callout).when(kind == "table", table).when(kind == "image", image)

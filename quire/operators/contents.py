@@ -10,13 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CONTENTS_TITLES, fold, lines, page_label, squeeze, strip
+from ..functions.text import CONTENTS_TITLES, SPACE, after_first, fold, lines, page_label, squeeze, strip
+from .layout import BY_PAGE, CONTENTS, READ
 
+# How entries of contents, their page labels and their numbers are written.
 DOTS = r"(?:\s*\.\s*){4,}"
 TRAILING, LEADING = r"^\s*(.+?)\s+(\d{1,4})\s*$", r"^\s*(\d{1,4})\s+(.+?)\s*$"
 SECTION, NUMBERED = r"^\d+(?:\.\d+)*\.?$", r"^\d+(?:\.\d+)*\.?\s+"
 ENTRY = "struct<title:string,toc_level:int,page_label:string>"
 LONGEST = 140
+#: How any of the headings begins; spares the exact test for other texts.
+MAY_HEAD = rf"(?i)\A{SPACE}*(?:inhalt|contents|table)"
 
 
 def _is_heading(c: Column) -> Column:
@@ -59,7 +63,7 @@ def _reading(line: Column, following: Column) -> Column:
 def block_entries(text: Column) -> Column:
     """Entries of a block as array<struct<title, toc_level, page_label>>; empty where it has none."""
     ls = lines(text)
-    read = F.zip_with(ls, F.concat(F.slice(ls, 2, 1_000_000), F.array(F.lit(None).cast("string"))), _reading)
+    read = F.zip_with(ls, F.concat(after_first(ls), F.array(F.lit(None).cast("string"))), _reading)
     cleaned = F.transform(read, lambda r, i: F.struct(i.alias("i"), r["used"].alias("used"), _clean(r["title"]).alias("title"), r["label"].alias("label")))
     empty = F.array().cast("array<struct<title:string,label:string>>")
     start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
@@ -72,7 +76,7 @@ def block_entries(text: Column) -> Column:
         )
 
     walked = F.aggregate(cleaned, start, walk, lambda s: s["out"])
-    first, rest = F.get(ls, F.lit(0)), F.array_join(F.slice(ls, 2, 100_000), " ")
+    first, rest = F.get(ls, F.lit(0)), F.array_join(after_first(ls), " ")
     merged = _undot(F.array_join(ls, " "))
     g = F.regexp_extract
     label = (
@@ -88,51 +92,78 @@ def block_entries(text: Column) -> Column:
     return F.transform(chosen, lambda e: F.struct(e["title"].alias("title"), _level(e["title"]).alias("toc_level"), e["label"].alias("page_label"))).cast(f"array<{ENTRY}>")
 
 
-def contents_pages(ordered: DataFrame, *, heading_line: bool = False) -> DataFrame:
-    """Pages of contents, with their number of entries: (doc_id, page_index, entries).
+def with_entries(flat: DataFrame, *, heading_line: bool = False) -> DataFrame:
+    """Add what a block's own text says of contents: entries (null where it can hold none), n_entries, is_heading and leaders.
 
-    A page counts by its heading and three entries, or by eight entries and
-    three dot leaders; pages with three entries that follow one count too.  With
-    ``heading_line`` the heading may be the first line of a block of entries.
+    With ``heading_line`` the heading may be the first line of a block of entries.
     """
+    text = F.col("raw_text")
     # only blocks that end or begin with a number can hold entries; the test spares the fold for the rest
-    may_be = F.col("raw_text").rlike(r"(?m)\d\s*$|^\s*\d")
-    first = F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy("read_seq"))
-    seen = ordered.select("doc_id", "page_index", "raw_text", F.when(may_be, F.size(block_entries(F.col("raw_text")))).otherwise(0).alias("n"), first.alias("place"))
-    heading = F.substring_index("raw_text", "\n", 1) if heading_line else F.col("raw_text")
-    pages = seen.groupBy("doc_id", "page_index").agg(
-        F.sum("n").cast("bigint").alias("entries"), F.coalesce(F.bool_or((F.col("place") <= 5) & _is_heading(heading)), F.lit(False)).alias("titled"), F.count_if(F.col("raw_text").rlike(DOTS)).alias("leaders")
-    )
-    base = pages.withColumn("base", (F.col("titled") & (F.col("entries") >= 3)) | ((F.col("entries") >= 8) & (F.col("leaders") >= 3))).where("base or entries >= 3")
-    doc = Window.partitionBy("doc_id").orderBy("page_index")
-    island = base.withColumn("island", F.col("page_index") - F.row_number().over(doc))
-    reached = F.max("base").over(Window.partitionBy("doc_id", "island").orderBy("page_index"))
-    return island.withColumn("reached", reached).where("reached").select("doc_id", "page_index", "entries")
+    may_be = text.rlike(r"(?m)\d\s*$|^\s*\d")
+    heading = F.substring_index("raw_text", "\n", 1) if heading_line else text
+    return flat.withColumn("entries", F.when(may_be, block_entries(text))).withColumns({
+        "n_entries": F.coalesce(F.size("entries"), F.lit(0)), "is_heading": heading.rlike(MAY_HEAD) & _is_heading(heading), "leaders": text.contains(".") & text.rlike(DOTS),
+    })
 
 
-def contents_entries(ordered: DataFrame, pages: DataFrame) -> DataFrame:
+def with_contents(ordered: DataFrame) -> DataFrame:
+    """Add page_entries, the entries of a block's page, where that is a page of contents; null elsewhere.
+
+    A page counts by its heading and three entries, or by eight entries and
+    three dot leaders; pages with three entries that follow one count too.
+    """
+    page, doc = Window.partitionBy(*BY_PAGE), Window.partitionBy("doc_id", "lane")
+    until = lambda last: doc.orderBy("page_index").rangeBetween(Window.unboundedPreceding, last)
+    rows = ordered.withColumn("nth", F.row_number().over(page.orderBy(*READ[1:])))
+    entries = F.sum("n_entries").over(page)
+    titled = F.bool_or((F.col("nth") <= 5) & F.col("is_heading")).over(page)
+    rows = rows.withColumns({"n": entries, "titled": F.coalesce(titled, F.lit(False)), "led": F.count_if("leaders").over(page)})
+    sure = (F.col("titled") & (F.col("n") >= 3)) | ((F.col("n") >= 8) & (F.col("led") >= 3))
+    rows = rows.withColumn("sure", F.when(sure, F.col("page_index"))).withColumn("able", F.when(sure | (F.col("n") >= 3), F.col("page_index")))
+    goes_on = F.max("able").over(until(-1)) == F.col("page_index") - 1
+    rows = rows.withColumn("opens", F.when(F.col("able").isNotNull() & ~F.coalesce(goes_on, F.lit(False)), F.col("page_index")))
+    reached = F.col("able").isNotNull() & (F.max("sure").over(until(0)) >= F.max("opens").over(until(0)))
+    return rows.withColumn("page_entries", F.when(reached, F.col("n"))).drop("nth", "n", "titled", "led", "sure", "able", "opens")
+
+
+def contents_pages(rows: DataFrame) -> DataFrame:
+    """Pages of contents, with their number of entries: (doc_id, page_index, entries)."""
+    return rows.where(F.col("lane") == CONTENTS).groupBy("doc_id", "page_index").agg(F.first("page_entries").cast("bigint").alias("entries"))
+
+
+def contents_entries(rows: DataFrame) -> DataFrame:
     """Entries of the pages of contents, numbered in the document: (doc_id, entry_no, page_index, title, toc_level, page_label)."""
-    held = ordered.join(pages.where("entries > 0").select("doc_id", "page_index"), ["doc_id", "page_index"], "left_semi")
-    each = held.select("doc_id", "page_index", "read_seq", F.posexplode(block_entries(F.col("raw_text"))).alias("n", "e"))
+    each = rows.where(F.col("lane") == CONTENTS).select("doc_id", "page_index", "read_seq", F.posexplode("entries").alias("n", "e"))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("read_seq", "n")) - 1
     return each.select("doc_id", number.cast("bigint").alias("entry_no"), "page_index", "e.title", "e.toc_level", "e.page_label")
 
 
-def without_contents(ordered: DataFrame, pages: DataFrame) -> DataFrame:
-    return ordered.join(pages.where("entries > 0").select("doc_id", "page_index"), ["doc_id", "page_index"], "left_anti")
+# Fixed value: a text that is no place to lead to.
+NO_TARGET = "notizen"
+
+
+def is_target(kind: Column, text: Column) -> Column:
+    """Can an entry lead to this element: text or a table, more than a page label."""
+    bare = squeeze(F.coalesce(text, F.lit("")))
+    return kind.isin("paragraph", "callout", "table") & (bare != "") & (fold(bare) != NO_TARGET) & page_label(bare).isNull()
 
 
-def entry_targets(entries: DataFrame, elements: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """The element that each entry leads to: the first on the page its label names, or null.
+def linked(entries: Column, labels: Column, targets: Column, last: Column) -> Column:
+    """Entries of a document with the page each label names and the first element there, where there is one.
 
-    ``entries``: doc_id, entry_no, page_label; ``elements``: doc_id, element_id,
-    element_type, text, page_index, y0, x0.
+    ``entries``: array of title, toc_level, page_label; ``labels``: sorted array
+    of (number, page, y), the removed page numbers; ``targets``: sorted array of
+    (page, y, x, element_id); ``last``: the last page of the document.
     """
-    labels = artifacts.where("artifact_type = 'page_number'").withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "number").orderBy("page_index", "y0"))).where("r = 1").select("doc_id", F.col("number").alias("label"), F.col("page_index").alias("mapped"))
-    last = elements.groupBy("doc_id").agg(F.max("page_index").alias("last"))
-    text = squeeze(F.coalesce("text", F.lit("")))
-    worth = (text != "") & (fold(text) != "notizen") & page_label(text).isNull()
-    first = elements.where(F.col("element_type").isin("paragraph", "callout", "table") & worth).withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy(F.bround("y0", 1), F.bround("x0", 1), "element_id"))).where("r = 1")
-    asked = entries.withColumn("label", page_label(strip(F.col("page_label")))).join(labels, ["doc_id", "label"], "left").join(last, "doc_id", "left")
-    page = F.coalesce("mapped", F.when((F.col("label") >= 1) & (F.col("label") - 1 <= F.col("last")), F.col("label") - 1))
-    return asked.withColumn("target_page", page).join(first.select("doc_id", F.col("page_index").alias("target_page"), F.col("element_id").alias("target_id")), ["doc_id", "target_page"], "left").select("doc_id", "element_id", "entry_no", "page_label", F.col("target_page").cast("bigint"), "target_id")
+    label = lambda e: page_label(strip(e["page_label"]))
+
+    def place(e: Column) -> Column:
+        n = label(e)
+        named = F.get(F.filter(labels, lambda x: x["number"] == n), F.lit(0))["page"]
+        return F.coalesce(named, F.when((n >= 1) & (n - 1 <= last), n - 1))
+
+    paged = F.transform(entries, lambda e: F.struct(e.alias("e"), place(e).alias("page")))
+    first = lambda page: F.get(F.filter(targets, lambda x: x["page"] == page), F.lit(0))["element_id"]
+    return F.transform(paged, lambda p: F.struct(
+        p["e"]["title"].alias("title"), p["e"]["toc_level"].alias("toc_level"), p["e"]["page_label"].alias("page_label"), p["page"].cast("bigint").alias("target_page"), first(p["page"]).alias("target_id"),
+    ))

@@ -45,7 +45,9 @@ def _documents(name: str, *columns: str, **options) -> Query:
 def blocks_scan(spark: SparkSession, d: str) -> DataFrame:
     """Blocks once each, with their length and number of lines."""
     text = F.col("raw_text")
-    return Recovery.of(spark, d).scanned.select("doc_id", "block_id", "page_index", F.length(text).cast("bigint").alias("chars"), (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("line_count"))
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    counted = Recovery.of(spark, d).flat.select("doc_id", "block_id", "page_index", F.length(text).cast("bigint").alias("chars"), (breaks + 1).cast("bigint").alias("line_count"))
+    return counted.dropDuplicates(["doc_id", "block_id"])  # counted first, so that no text is shuffled
 
 
 def page_number_artifacts(spark: SparkSession, d: str) -> DataFrame:
@@ -67,11 +69,11 @@ def kept_margin_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 def delimited_tables(spark: SparkSession, d: str) -> DataFrame:
     """Cells of all consistently delimited blocks."""
-    return grids.table_cells(grids.table_blocks(Recovery.of(spark, d).scanned))
+    return grids.table_cells(grids.with_tables(Recovery.of(spark, d).flat))
 
 
 def line_repairs(spark: SparkSession, d: str) -> DataFrame:
-    return prose.line_repairs(Recovery.of(spark, d).scanned.withColumn("read_seq", F.lit(0)))
+    return prose.line_repairs(Recovery.of(spark, d).flat)
 
 
 def warnings_distinct(spark: SparkSession, d: str) -> DataFrame:
@@ -89,8 +91,8 @@ def linkified_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def xhtml_elements(spark: SparkSession, d: str) -> DataFrame:
-    r = Recovery.of(spark, d, heading_line=True)
-    return sinks.markup_elements(r.elements, sinks.toc_markup(r.linked_entries))
+    """Markup of every element."""
+    return Recovery.of(spark, d, heading_line=True).markup
 
 
 def epub_bytes(spark: SparkSession, d: str) -> DataFrame:
@@ -111,6 +113,7 @@ def queries() -> dict[str, Query]:
         "row_bands": _documents("banded", "doc_id", "block_id", "band_no"),
         "table_runs": _documents("runs", "doc_id", "run_no", "band_no", "page_index"),
         "band_table_text": _documents("run_texts"),
+        "recovery_warnings": _documents("warnings", "doc_id", "code", "page_index", "severity", "stage", "times"),
         "table_elements": _documents("tables", "doc_id", "block_id", "source_format"),
         "rebuilt_paragraphs": _documents("paragraphs", "doc_id", "element_id", "text", "is_highlighted", "page_index", "hyphen_repairs", "wrap_repairs"),
         "elements_sorted": _documents("elements", "doc_id", "elem_seq", "element_id", "element_type", "text", "page_index", "merged"),
