@@ -54,8 +54,8 @@ def _page_counts() -> dict[str, Column]:
     gone = {f"{t}s_removed": F.count_if(F.col("artifact_type") == t) for t in ARTIFACTS}
     picture, decorative, kept = F.col("lane") == IMAGE, F.coalesce("decorative", F.lit(False)), F.coalesce("preserved", F.lit(False))
     return {
-        "chars": F.sum(F.when(first & block, F.col("chars"))), "blocks": F.count_if(first & block), "native": F.count_if(first & F.col("page_first")),
-        "multi_pages": F.count_if(first & F.col("page_first") & (F.col("likely_layout") == "possible_multi_column")), "last_native": F.max(F.when(block, F.col("page_index"))), **gone,
+        "chars": F.sum(F.when(first & block, F.col("chars"))), "blocks": F.count_if(first & block), "native": F.count_if(first & block & F.col("page_first")),
+        "multi_pages": F.count_if(first & block & F.col("page_first") & (F.col("likely_layout") == "possible_multi_column")), "last_native": F.max(F.when(block, F.col("page_index"))), **gone,
         "images_detected": F.count_if(picture), "images_preserved": F.count_if(picture & ~decorative & kept), "images_not_preserved": F.count_if(picture & ~decorative & ~kept), "decorative_images_removed": F.count_if(picture & decorative),
     }
 

@@ -24,7 +24,9 @@ HEADS = {
 }
 LABEL = r"(?iu)^\s*(" + "|".join(HEADS) + r")\s*[:=\-‐-―−]\s*(.*)$"
 ANY_LABEL = r"(?ium)^[^\S\n]*(" + "|".join(HEADS) + r")[^\S\n]*[:=\-‐-―−]"
-MARK = ""
+# A sign that no text should hold begins each mark; where a text holds it all the same, it is escaped.
+SIGN = "\uffff"
+ESCAPED, MARK, BETWEEN = SIGN + "0", SIGN + "1", SIGN + "2"
 # Delimiters. The slash is apart because class symbols hold one between digits.
 PLAIN = r"[,;|·•+&\t\n\r]"
 SLASH = r"(?<![0-9])/|/(?![0-9])"
@@ -41,16 +43,22 @@ def _quoted(kind: str) -> str:
 
 def split_values(text: Column, kind: str = "other") -> Column:
     """The values of a field in order, as array<string>; null gives null."""
-    quoted = _quoted(kind)
-    marked = F.regexp_replace(text, quoted, f"{MARK}$1$2{MARK}")
+    escaped = F.replace(text, F.lit(SIGN), F.lit(ESCAPED))
+    marked = F.regexp_replace(escaped, _quoted(kind), f"{MARK}$1{BETWEEN}$2{MARK}")
     pieces = F.split(marked, MARK)
     delimiters = DELIMITERS["class" if kind == "class" else "other"]
 
+    def literal(piece: Column) -> Column:
+        """A quoted value: what stood between double quotes, then what stood between single ones, one of them empty; doubled quotes are one."""
+        sides = F.split(piece, BETWEEN)
+        return F.trim(F.concat(*[F.replace(F.get(sides, F.lit(i)), F.lit(q * 2), F.lit(q)) for i, q in enumerate("\"'")]))
+
     def parts(piece: Column, i: Column) -> Column:
-        literal = F.array(F.trim(F.replace(F.replace(piece, F.lit('""'), F.lit('"')), F.lit("''"), F.lit("'"))))
-        return F.when(i % 2 == 1, literal).otherwise(F.transform(F.split(piece, delimiters), lambda v: F.regexp_replace(v, r"^\s+|\s+$", "")))
+        plain = F.transform(F.split(piece, delimiters), lambda v: F.regexp_replace(v, r"^\s+|\s+$", ""))
+        return F.when(i % 2 == 1, F.array(literal(piece))).otherwise(plain)
 
-    return F.filter(F.flatten(F.transform(pieces, parts)), lambda v: v != "")
+    values = F.filter(F.flatten(F.transform(pieces, parts)), lambda v: v != "")
+    return F.transform(values, lambda v: F.replace(v, F.lit(ESCAPED), F.lit(SIGN)))
 
 
 def values_by_kind(text: Column, kind: Column) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.markup import inline
-from ..operators import document, grids, layout, prose
+from ..operators import document, grids, images, layout, prose
 from ..operators.multivalue import packed_values
 from ..sources import sinks
 from ..sources.tables import table
@@ -90,6 +90,68 @@ def linkified_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "paragraphs", "doc_id", "element_id", "text").where("text <> ''").dropDuplicates(["doc_id", "element_id"]).select("doc_id", "element_id", inline(F.col("text")).alias("markup"))
 
 
+def cells_as_blocks(elements: DataFrame) -> DataFrame:
+    """Cells of the tables of elements as blocks: each table on a page of its own, whose size isn't known."""
+    once = elements.where("size(table_data.cell_rows) > 0").select("doc_id", "element_id", F.col("table_data.cell_rows").alias("cells")).dropDuplicates(["doc_id", "element_id"])
+    paged = once.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("element_id")))
+    rows = paged.select("doc_id", "element_id", "k", F.posexplode("cells").alias("r", "row_cells"))
+    cells = rows.select("doc_id", "element_id", "k", (F.col("r") + 1).alias("r"), F.posexplode("row_cells").alias("c", "raw_text")).withColumn("c", F.col("c") + 1)
+    box = {"x0": F.col("c") * 110.0, "y0": F.col("r") * 24.0, "x1": F.col("c") * 110.0 + 100, "y1": F.col("r") * 24.0 + 12}
+    none = lambda kind: F.lit(None).cast(kind)
+    return cells.select(
+        "doc_id", F.concat_ws("-", "element_id", "r", "c").alias("block_id"), (F.col("k") + 1000).cast("int").alias("page_index"), none("double").alias("page_width"), none("double").alias("page_height"), "raw_text",
+        F.struct(*[v.alias(k) for k, v in box.items()]).alias("bbox"), none("string").alias("source_engine"), F.lit(False).alias("is_highlighted"), none("double").alias("confidence"),
+    )
+
+
+def _laid_out(spark: SparkSession, d: str) -> Recovery:
+    """Blocks, and the cells of all tables as blocks, so that tables found by geometry are there to be found."""
+    cells = cells_as_blocks(table(spark, d, "elements", "doc_id", "element_id", "table_data"))
+    return Recovery(table(spark, d, "blocks", *layout.KEEP).unionByName(cells), table(spark, d, "doc_ir", "doc_id", "metadata", "page_count"), heading_line=True)
+
+
+def table_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Bands of the tables that blocks, and cells laid out as blocks, form."""
+    return _laid_out(spark, d).runs.select("doc_id", "run_no", "band_no", "page_index")
+
+
+def band_table_text(spark: SparkSession, d: str) -> DataFrame:
+    """The text of these tables."""
+    return _laid_out(spark, d).run_texts
+
+
+def highlight_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks inside of filled rectangles: here those that hold the highlighted blocks of a page, and whatever stands between these."""
+    blocks = table(spark, d, "blocks", *layout.KEEP)
+    sides = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
+    rects = blocks.where("is_highlighted").groupBy("doc_id", "page_index").agg(*[f(F.col(f"bbox.{c}")).alias(c) for c, f in sides.items()])
+    return layout.highlighted(layout.scan_blocks(blocks), rects.withColumn("fill", F.lit([0.95, 0.9, 0.6]))).where("is_highlighted").select("doc_id", "block_id")
+
+
+def decorative_images(spark: SparkSession, d: str) -> DataFrame:
+    """Images that are only decoration; pages are as large as their blocks say, pixels aren't known."""
+    placed = images.images_of_elements(table(spark, d, "elements", "doc_id", "image", "source_refs"))
+    pages = table(spark, d, "blocks", "doc_id", "page_index", "page_width", "page_height").groupBy("doc_id", "page_index").agg(F.max("page_width").alias("page_width"), F.max("page_height").alias("page_height"))
+    none = {c: F.lit(None).cast("int") for c in ("xref", "pixel_width", "pixel_height")}
+    return images.decorative_images(placed.join(pages, ["doc_id", "page_index"], "left").withColumns(none))
+
+
+def report_actions(spark: SparkSession, d: str) -> DataFrame:
+    """What was done to each document, an action a row, those that were done at all."""
+    report = Recovery.of(spark, d, heading_line=True).report
+    done = F.explode(F.array(*[F.struct(F.lit(a).alias("action"), F.col(a).alias("times")) for a in document.ACTIONS]))
+    return report.select("doc_id", done.alias("a")).where("a.times > 0").select("doc_id", "a.*")
+
+
+def verdict(spark: SparkSession, d: str) -> DataFrame:
+    return Recovery.of(spark, d, heading_line=True).report.select("doc_id", "quality_score", "status", "verdict")
+
+
+def callouts(spark: SparkSession, d: str) -> DataFrame:
+    """Highlighted text, blocks below each other as one."""
+    return Recovery.of(spark, d, heading_line=True).elements.where("element_type = 'callout'").select("doc_id", "elem_seq", "element_id", "text", "merged")
+
+
 def xhtml_elements(spark: SparkSession, d: str) -> DataFrame:
     """Markup of every element."""
     return Recovery.of(spark, d, heading_line=True).markup
@@ -101,7 +163,7 @@ def epub_bytes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p3_found, p3_values, blocks_scan, page_number_artifacts, repeated_margin_artifacts, artifact_counts, kept_margin_blocks, delimited_tables, line_repairs, image_captions, warnings_distinct, linkified_text, xhtml_elements, epub_bytes)
+    own = (p3_found, p3_values, blocks_scan, page_number_artifacts, repeated_margin_artifacts, artifact_counts, kept_margin_blocks, delimited_tables, line_repairs, image_captions, warnings_distinct, linkified_text, table_runs, band_table_text, highlight_blocks, decorative_images, report_actions, verdict, callouts, xhtml_elements, epub_bytes)
     return {f.__name__: f for f in own} | {
         "page_profile": _documents("pages"),
         "doc_profile": _documents("profile"),
@@ -111,8 +173,6 @@ def queries() -> dict[str, Query]:
         "toc_entries": _documents("contents_entries"),
         "toc_targets": _documents("linked_entries", "doc_id", "entry_no", "title", "page_label", "target_page", "target_id"),
         "row_bands": _documents("banded", "doc_id", "block_id", "band_no"),
-        "table_runs": _documents("runs", "doc_id", "run_no", "band_no", "page_index"),
-        "band_table_text": _documents("run_texts"),
         "recovery_warnings": _documents("warnings", "doc_id", "code", "page_index", "severity", "stage", "times"),
         "table_elements": _documents("tables", "doc_id", "block_id", "source_format"),
         "rebuilt_paragraphs": _documents("paragraphs", "doc_id", "element_id", "text", "is_highlighted", "page_index", "hyphen_repairs", "wrap_repairs"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import oracle_elements, oracle_values
+
 SP = r"[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 EOL = r"\r\n|[\n\r\x0B\x0C\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 LABEL = r"(?i)^(?:(?:page|seite|p\.|s\.)\s*)?(\d{1,5})(?:\s*(?:of|von|/)\s*\d{1,5})?$"
@@ -164,6 +166,18 @@ pn as (select *, lead(l) over (partition by doc_id, block_id, sn order by i) a f
 fix as (select doc_id, block_id, sum((a is not null)::integer)::bigint wrap_repairs, sum((coalesce(regexp_matches(l, '\p{{L}}-$') and regexp_matches(a, '^\p{{Ll}}'), false))::integer)::bigint hyphen_repairs from pn group by all)"""
 
 
+# Warnings of all tables that carry them, in the order of stages.
+WARNINGS = " union all ".join(f"select doc_id, {i} stage, unnest(warnings) w, generate_subscripts(warnings, 1) seq from {t}" for i, t in enumerate(("doc_ir", "blocks", "elements", "paragraphs")))
+
+# Blocks, and cells of the tables of elements laid out as blocks on pages of their own.
+LAID = """lt as (select *, row_number() over (partition by doc_id order by element_id) k from (select distinct doc_id, element_id, table_data.cell_rows cells from elements where len(table_data.cell_rows) > 0)),
+lr as (select doc_id, element_id, k, unnest(cells) row_cells, generate_subscripts(cells, 1) r from lt),
+ly as (select doc_id, element_id, k, r, unnest(row_cells) cell, generate_subscripts(row_cells, 1) c from lr),
+laid as (select doc_id, element_id || '-' || r || '-' || c block_id, (1000 + k)::integer page_index, null::double page_width, null::double page_height, cell raw_text, false is_highlighted,
+  struct_pack(x0 := 110.0 * c, y0 := 24.0 * r, x1 := 110.0 * c + 100, y1 := 24.0 * r + 12)::struct(x0 double, y0 double, x1 double, y1 double) bbox from ly),
+""" + SCAN.replace("from blocks)", "from (select doc_id, block_id, page_index, page_width, page_height, raw_text, is_highlighted, bbox from blocks union all select * from laid))")
+
+
 def oracle_sql() -> dict[str, str]:
     toc = f"{BASE}, {ENTRIES}"
     return {
@@ -186,9 +200,9 @@ def oracle_sql() -> dict[str, str]:
             near as (select i.doc_id, image_id, t, row_number() over (partition by i.doc_id, image_id order by abs(y0 - iy1), block_id) r from im i join scan s on i.doc_id = s.doc_id and i.page_index = s.page_index
               where regexp_matches(t, '(?i)^\s*(?:abb\.?|fig\.?|figure)\s+\d+') and least(abs(y0 - iy1), abs(iy0 - y1)) <= 42 and least(x1, ix1) - greatest(x0, ix0) >= least(greatest(0, x1 - x0), greatest(0, ix1 - ix0)) * 0.25)
             select doc_id, image_id, {squeeze('t')} caption from near where r = 1""",
-        "warnings_distinct": """with w as (select doc_id, 0 stage, unnest(warnings) w, generate_subscripts(warnings, 1) seq from doc_ir union all select doc_id, 1, unnest(warnings), generate_subscripts(warnings, 1) from blocks union all select doc_id, 2, unnest(warnings), generate_subscripts(warnings, 1) from elements),
-            f as (select doc_id, w.code code, w.message message, w.page_index page_index, min(struct_pack(stage := stage, seq := seq, severity := w.severity)) k from w group by all),
+        "warnings_distinct": f"""with w as ({WARNINGS}), f as (select doc_id, w.code code, w.message message, w.page_index page_index, min(struct_pack(stage := stage, seq := seq, severity := w.severity)) k from w group by all),
             n as (select *, row_number() over (partition by doc_id order by k.stage, k.seq, code, message, page_index nulls first) - 1 warning_no from f)
             select doc_id, warning_no, code, message, k.severity severity, page_index from n where warning_no < 8""",
-        "linkified_text": """select doc_id, element_id, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') markup from (select distinct doc_id, element_id, text from paragraphs) where text <> '' and not contains(text, 'http')""",
+        **oracle_values.oracle_sql(),
+        **oracle_elements.oracle_sql({"bands": f"{toc}, {BODY}, {BANDS}"}, TABLES, SEGMENTS, strip, squeeze, fold, lines, number, f"{toc}, {BODY}, {BANDS}".replace(SCAN, LAID), SCAN),
     }

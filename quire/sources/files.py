@@ -38,7 +38,7 @@ def parse_files(files: DataFrame, parser: Callable[[str, bytes, int | None], Ite
                 try:
                     rows += [{"path": path, **r} for r in parser(path, bytes(content), max_pages or None)]
                 except Exception as e:  # a broken file mustn't end the job
-                    rows.append({"path": path, "warnings": [{"code": "conversion_failed", "message": str(e)[:500], "severity": "error", "page_index": None}]})
+                    rows.append({"path": path, "warnings": [{"code": "conversion_failed", "message": str(e), "severity": "error", "page_index": None}]})
             made = pd.DataFrame(rows, columns=names, dtype=object)
             yield made.where(made.notna(), None)
 

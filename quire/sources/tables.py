@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,14 +15,3 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     """A table of ``folder``; with ``columns``, only these, so that the scan reads no others."""
     df = spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
     return df.select(*columns) if columns else df
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as set in spark.checkpoint.dir; a local one only where it is unset."""
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="quire-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder

@@ -85,3 +85,9 @@ def test_tables_and_lines(spark):
     }
     assert packed_values(blocks.limit(0), elements.limit(0)).count() == 0
     assert labelled_lines(blocks).count() == 2
+
+
+def test_marks_in_texts(spark):
+    texts = {"bolt\ue000 3, nut, washer": ["bolt\ue000 3", "nut", "washer"], "a\uffff1b, c\uffff": ["a\uffff1b", "c\uffff"], "\"it''s\", 'a\"\"b', x": ["it''s", 'a""b', "x"], "'it''s'; y": ["it's", "y"]}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.v for r in df.select("t", split_values(F.col("t")).alias("v")).collect()} == texts
