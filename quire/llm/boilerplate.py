@@ -5,15 +5,20 @@ folded, in the consistent form of ``textform``); its weight is the number of
 documents that hold it.  An edge joins two lines that follow each other on a
 page, weighted by documents as well.  Nodes and edges with high support are
 kept, connected components of the kept graph are the boilerplate blocks, and
-every occurrence of their lines is deleted.
-
-Size: only hashes are shuffled, and they are made distinct per document before
-they are counted, so a hot site or line costs no more than its documents.  A
-site keeps at most ``1 / share`` times its mean lines per document, so that the
-component step, one group per site, has a proven bound.
+every occurrence of their lines is deleted.  A kept line that no kept edge
+touches is a block of its own, so edges say which lines belong together; they
+don't add lines that lack support themselves.
+
+Size: texts are read and hashed once; the hashes are written as a table in the
+folder all executors share, and all that follows reads the columns it needs of
+it.  Hashes are made distinct per document before they are counted, so a hot
+site or line costs no more than its documents.  Kept lines are the hottest
+there are, so their join with the occurrences is salted.  A site keeps at most
+``1 / share`` times its mean lines per document, so that the component step, one
+group per site, has a proven bound.
 
 A null site is a site of its own; null or empty texts have no lines; redelivered
-rows count once.
+rows count once; without boxes, only lines within a block follow each other.
 """
 
 from __future__ import annotations
@@ -23,13 +28,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
 from .textform import LIMIT, canonical_codepoints, codepoints, slices, subset, suspicious_rows
 
-LINES = "site string, doc_id bigint, block_id string, page_index int, line_no bigint, is_last boolean, key bigint"
+PLACE = ("site", "doc_id", "block_id", "page_index", "x0", "y0", "y1")
+LINES = "site string, doc_id bigint, block_id string, page_index int, x0 double, y0 double, y1 double, line_no bigint, is_last boolean, key bigint"
+#: Parts that the occurrences of one line are dealt to, and points between two blocks whose lines follow each other.
+SALTS, GAP = 16, 36.0
 
 
 @lru_cache(1)
@@ -109,11 +117,13 @@ def page_lines(blocks: DataFrame, least_letters: int) -> DataFrame:
                 r, number, last, key = line_hashes(part, po, least_letters)
                 at = pa.array(rows[r])
                 yield pa.RecordBatch.from_arrays(
-                    [get(c).take(at) for c in ("site", "doc_id", "block_id", "page_index")] + [pa.array(number.astype(np.int64)), pa.array(last), pa.array(key)],
-                    names=["site", "doc_id", "block_id", "page_index", "line_no", "is_last", "key"],
+                    [get(c).take(at) for c in PLACE] + [pa.array(number.astype(np.int64)), pa.array(last), pa.array(key)],
+                    names=[*PLACE, "line_no", "is_last", "key"],
                 )
 
-    source = blocks.select(F.coalesce("site", F.lit("")).alias("site"), F.col("doc_id").cast("bigint"), "block_id", F.col("page_index").cast("int"), "raw_text")
+    box = [F.col(f"bbox.{c}") if "bbox" in blocks.columns else F.lit(None).cast("double") for c in PLACE[-3:]]
+    source = blocks.select(
+        F.coalesce("site", F.lit("")).alias("site"), F.col("doc_id").cast("bigint"), "block_id", F.col("page_index").cast("int"), *[b.alias(c) for b, c in zip(box, PLACE[-3:])], "raw_text")
     return source.where("length(raw_text) > 0").mapInArrow(run, LINES)
 
 
@@ -146,25 +156,32 @@ def _components(pdf):
 class Boilerplate:
     """The repeated lines of every site, and what becomes of the texts without them.
 
-    ``blocks`` needs site, doc_id, block_id, page_index and raw_text; other
-    columns are ignored.
+    ``blocks`` needs site, doc_id, block_id, page_index and raw_text, and may
+    have bbox; other columns are ignored.
     """
 
     def __init__(self, blocks: DataFrame, *, share: float = 0.2, least_documents: int = 3, least_letters: int = 10) -> None:
         self.blocks = blocks
-        self.lines = page_lines(blocks, least_letters)
+        self.lines = written(page_lines(blocks, least_letters))
         self.nodes = repeated_nodes(blocks, self.lines, share, least_documents)
-        self.occurrences = self.lines.join(self.nodes, ["site", "key"]).dropDuplicates(["doc_id", "block_id", "line_no"]).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def _at(self, nodes: DataFrame, lines: DataFrame) -> DataFrame:
+        """Lines of nodes, once each; a node's occurrences are dealt to parts by document."""
+        parts = nodes.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        return salted.join(parts, ["site", "key", "salt"]).drop("salt").dropDuplicates(["doc_id", "block_id", "line_no"])
 
     def edges(self) -> DataFrame:
         """Kept edges between lines that follow each other on a page: (site, key, next_key, documents)."""
-        ordinal = F.coalesce(F.try_to_number(F.regexp_extract("block_id", r"(\d{1,9})$", 1), F.lit("999999999")).cast("int"), F.lit(-9))
-        placed = self.occurrences.withColumn("ordinal", ordinal)
-        order = Window.partitionBy("doc_id", "page_index").orderBy("ordinal", "block_id", "line_no")
-        after = lambda c: F.lead(c).over(order)
-        paired = placed.select("site", "doc_id", "key", "needed", "block_id", "line_no", "is_last", "ordinal", after("key").alias("next_key"), after("block_id").alias("nb"), after("line_no").alias("nl"), after("ordinal").alias("no"))
-        follows = ((F.col("nb") == F.col("block_id")) & (F.col("nl") == F.col("line_no") + 1)) | (F.col("is_last") & (F.col("nl") == 0) & (F.col("no") == F.col("ordinal") + 1))
-        return paired.where(follows).groupBy("site", "key", "next_key").agg(F.count_distinct("doc_id").alias("documents"), F.first("needed").alias("needed")).where("documents >= needed").select("site", "key", "next_key", "documents")
+        placed = self._at(self.nodes.select("site", "key", "needed"), self.lines)
+        order = Window.partitionBy("doc_id", "page_index").orderBy("y0", "x0", "block_id", "line_no")
+        after = {c: F.lead(c).over(order) for c in ("key", "block_id", "line_no", "y0")}
+        paired = placed.withColumns({f"next_{c}": v for c, v in after.items()})
+        inside = (F.col("next_block_id") == F.col("block_id")) & (F.col("next_line_no") == F.col("line_no") + 1)
+        below = F.col("is_last") & (F.col("next_line_no") == 0) & (F.col("next_y0") - F.col("y1")).between(-GAP / 4, GAP)
+        counted = paired.where(inside | (below & (F.col("next_block_id") != F.col("block_id")))).select("site", "key", "next_key", "doc_id", "needed").distinct()
+        weighed = counted.groupBy("site", "key", "next_key").agg(F.count("doc_id").alias("documents"), F.max("needed").alias("needed"))
+        return weighed.where("documents >= needed").select("site", "key", "next_key", "documents")
 
     def blocks_of_lines(self) -> DataFrame:
         """Connected components of the kept graph: (site, key, block); a line without edges is a block alone."""
@@ -173,7 +190,8 @@ class Boilerplate:
 
     def found(self) -> DataFrame:
         """Every occurrence of a line of a boilerplate block: (site, doc_id, block_id, line_no, key, block)."""
-        return self.occurrences.join(self.blocks_of_lines(), ["site", "key"]).select("site", "doc_id", "block_id", "line_no", "key", "block")
+        lines = self.lines.select("site", "doc_id", "block_id", "line_no", "key")
+        return self._at(self.blocks_of_lines(), lines).select("site", "doc_id", "block_id", "line_no", "key", "block")
 
     def removed_lines(self) -> DataFrame:
         """The list of lines removed: one row per site and line, with an example of how it is written."""

@@ -22,7 +22,7 @@ LIMIT, OVERLAP = 512, 64
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "blocks", "site", "doc_id", "block_id", "page_index", "raw_text")
+    return table(spark, d, "blocks", "site", "doc_id", "block_id", "page_index", "bbox", "raw_text")
 
 
 def _paragraphs(spark: SparkSession, d: str) -> DataFrame:
