@@ -163,7 +163,7 @@ class Boilerplate:
     def __init__(self, blocks: DataFrame, *, share: float = 0.2, least_documents: int = 3, least_letters: int = 10) -> None:
         self.blocks = blocks
         self.lines = written(page_lines(blocks, least_letters))
-        self.nodes = repeated_nodes(blocks, self.lines, share, least_documents)
+        self.nodes = written(repeated_nodes(blocks, self.lines, share, least_documents))
 
     def _at(self, nodes: DataFrame, lines: DataFrame) -> DataFrame:
         """Lines of nodes, once each; a node's occurrences are dealt to parts by document."""
