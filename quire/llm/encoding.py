@@ -8,8 +8,9 @@ at, and inverse mappings (encode in the wrong encoding, decode in the right one)
 are tested only inside these runs.  A repair is accepted when its characters
 are ones the corpus knows and its pairs are far more probable than before.
 
-Texts that hold the replacement character, or question marks inside words, have
-lost characters: found, but not recoverable.  Null and empty texts are never
+Texts that hold the replacement character, or question marks inside words that
+are no addresses, have lost characters, in place of which no mapping can put
+anything: found by that, but not recoverable.  Null and empty texts are never
 found.
 """
 
@@ -38,6 +39,8 @@ SINGLE_BYTE = (
 )
 UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 LOST = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])")
+#: A run without blanks that is an address or a query: its question marks are meant.
+ADDRESS = re.compile(r"\S*(?:://|www\.|[?&][\w.-]+=)\S*")
 PAIRS = "a int, b int, n bigint"
 
 
@@ -306,7 +309,7 @@ class Repairer:
 
     def text(self, text: str, info: np.ndarray) -> tuple[bool, str | None, bool]:
         """Is it garbled; its original as far as restored; is all of it restored."""
-        lost = "\ufffd" in text or bool(LOST.search(text))
+        lost = "\ufffd" in text or bool(LOST.search(text) and LOST.search(ADDRESS.sub(" ", text)))
         high = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) >= 0x80
         touched = high[:-1] | high[1:]
         score = np.where(touched, 0.9 - info, -0.35 - 0.2 * np.maximum(info, 0))

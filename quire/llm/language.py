@@ -8,8 +8,8 @@ shortest.  The code length of a word doesn't depend on its neighbours, so each
 distinct word is coded once per worker and sentences are sums of table rows.
 
 The trees are trained here on at most ``sample`` paragraphs whose document names
-exactly one language, chosen by hash; as labels may be wrong, sentences are
-then assigned by the first trees and the trees trained anew.
+exactly one language, as many of each language, chosen by hash; as labels may
+be wrong, sentences are then assigned by the first trees and the trees trained anew.
 
 Null, empty and letterless texts have no language.  Rows delivered twice count
 once.
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lexicon import COMMON_WORDS, LANGUAGE_NAMES, LANGUAGES
+from .textform import slices
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 SENTENCE_END = re.compile(r"(?:(?<=[.!?…])|(?<=[.!?…][\"»”’“)]))[ \t]+(?=[\"«„“‘(¿¡]?[^\W_a-zà-öø-ÿа-яё]|[^\w\s])|\s*\n\s*")
@@ -120,13 +121,24 @@ def named_languages(doc_ir: DataFrame) -> DataFrame:
     return values.select("doc_id", part.alias("part")).select("doc_id", F.element_at(table, F.regexp_replace("part", "[-_].*$", "")).alias("lang")).where("lang is not null").distinct()
 
 
+def training_shares(documents: dict[str, int], all_documents: int, paragraphs: int, sample: int) -> dict[str, float]:
+    """The share of paragraphs to take of each language: its equal part of the sample, as documents have about as many paragraphs in all languages."""
+    each = paragraphs / max(all_documents, 1)
+    return {lang: min(1.0, sample / len(LANGUAGES) / max(n * each, 1.0)) for lang, n in documents.items()}
+
+
 def training_rows(paragraphs: DataFrame, named: DataFrame, sample: int) -> pd.DataFrame:
-    """At most about ``sample`` paragraphs of documents that name exactly one language, chosen by hash."""
-    total = paragraphs.count()
-    share = min(1.0, sample / max(total, 1))
-    one = named.groupBy("doc_id").agg(F.count("lang").alias("n"), F.min("lang").alias("lang")).where("n = 1")
-    chosen = paragraphs.where(F.pmod(F.xxhash64("doc_id", "element_id"), F.lit(1_000_000)) < int(share * 1_000_000)).where("length(text) > 0")
-    return chosen.join(one, "doc_id").select("text", "lang").toPandas()
+    """At most about ``sample`` paragraphs of documents that name exactly one language, as many of each, chosen by hash."""
+    one = named.groupBy("doc_id").agg(F.count("lang").alias("n"), F.min("lang").alias("lang")).where("n = 1").select("doc_id", "lang")
+    documents = {r["lang"]: r["n"] for r in one.groupBy("lang").agg(F.count("doc_id").alias("n")).collect()}  # seven rows at most
+    counted = paragraphs.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("doc_id").alias("docs")).first()
+    shares = training_shares(documents, counted["docs"], counted["n"], sample)
+    if not shares:
+        return pd.DataFrame({"text": [], "lang": []})
+    chance = F.shiftrightunsigned(F.xxhash64("doc_id", "element_id"), 11) / float(2**53)
+    table = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+    maybe = paragraphs.where((chance < max(shares.values())) & (F.length("text") > 0))
+    return maybe.join(one, "doc_id").where(chance < F.element_at(table, F.col("lang"))).select("text", "lang").toPandas()
 
 
 def split_sentences(text: str) -> list[tuple[int, int]]:
@@ -189,7 +201,7 @@ def segments(paragraphs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches, "text"):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             doc = batch.column(batch.schema.get_field_index("doc_id"))
             element = batch.column(batch.schema.get_field_index("element_id"))
@@ -228,18 +240,28 @@ def unnamed_languages(paragraphs: DataFrame, doc_ir: DataFrame, model: Model) ->
     return held.join(named_languages(doc_ir), ["doc_id", "lang"], "left_anti").select("doc_id", "element_id", "lang")
 
 
+def _with_document_language(parts: DataFrame) -> DataFrame:
+    """Add what speaks for a stretch's language in its document, and the language for which most does.
+
+    That is the number of characters in complete sentences; other text counts a hundredth.
+    """
+    weight = F.col("length") * F.when(F.col("complete"), 1.0).otherwise(0.01)
+    alike, doc = Window.partitionBy("doc_id", "lang"), Window.partitionBy("doc_id")
+    weighed = parts.withColumn("w", F.sum(weight).over(alike))
+    return weighed.withColumn("main", F.min(F.struct(-F.col("w"), F.col("lang"))).over(doc))
+
+
 def document_languages(paragraphs: DataFrame, model: Model) -> DataFrame:
     """The language of each document with most characters in complete sentences (any text where there are none), and its confidence."""
     parts = segments(paragraphs, model).where("lang is not null").dropDuplicates(["doc_id", "element_id", "segment_no"])
     weight = F.col("length") * F.when(F.col("complete"), 1.0).otherwise(0.01)
     by = parts.groupBy("doc_id", "lang").agg(F.sum(weight).alias("w"), F.sum(weight * F.col("confidence")).alias("c"))
-    rank = Window.partitionBy("doc_id").orderBy(F.desc("w"), "lang")
-    total = Window.partitionBy("doc_id")
-    return by.withColumn("r", F.row_number().over(rank)).withColumn("t", F.sum("w").over(total)).where("r = 1").select("doc_id", "lang", F.round(F.col("c") / F.col("t"), 6).alias("confidence"))
+    docs = by.groupBy("doc_id").agg(F.min(F.struct(-F.col("w"), F.col("lang"), F.col("c"))).alias("main"), F.sum("w").alias("t"))
+    return docs.select("doc_id", "main.lang", F.round(F.col("main.c") / F.col("t"), 6).alias("confidence"))
 
 
 def foreign_segments(paragraphs: DataFrame, model: Model) -> DataFrame:
-    """Every stretch with a complete sentence in another language than its document's."""
-    parts = segments(paragraphs, model).where("complete").dropDuplicates(["doc_id", "element_id", "segment_no"])
-    main = document_languages(paragraphs, model).select("doc_id", F.col("lang").alias("document_lang"))
-    return parts.join(main, "doc_id").where("lang <> document_lang").select("doc_id", "element_id", "segment_no", "start", "length", "lang", F.round("confidence", 6).alias("confidence"), "document_lang")
+    """Every stretch with a complete sentence in another language than its document's; paragraphs are read and cut once."""
+    parts = segments(paragraphs, model).where("lang is not null").dropDuplicates(["doc_id", "element_id", "segment_no"])
+    told = _with_document_language(parts).withColumn("document_lang", F.col("main")["lang"]).where("complete and lang <> document_lang")
+    return told.select("doc_id", "element_id", "segment_no", "start", "length", "lang", F.round("confidence", 6).alias("confidence"), "document_lang")

@@ -9,10 +9,13 @@ with equal values seed the search for a leaked passage, whose words must agree
 but for one in ten; slots that differ, but map one to one from item to
 document, show a re-parameterised copy.
 
-The items are the query set: they are taken in blocks of bounded size, and all
-documents run against each block without a shuffle.  Seven words are the
-longest stretch that a passage of 24 words or more, with one word in ten
-changed, must hold unchanged, so no passage is missed.
+The items are the query set: one pass over the documents, without a shuffle,
+runs against as many items as a bounded index holds (``block`` items and
+``most_words`` words, tens of thousands of items); only beyond that are there
+more passes.  Seven words are the longest stretch that a passage of 24 words or
+more, with one word in ten changed, must hold unchanged, so no passage is
+missed; where a passage is verbatim all its slots agree, so template windows
+with unequal slots only matter for re-parameterised copies.
 
 Null and empty texts leak nothing; a document delivered twice counts once.
 """
@@ -67,6 +70,12 @@ def _plain_words(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """Hash and digit flag of each word, and the number of words before each row."""
     inside, digit, fold, mix = _tables()
     small = fold[np.minimum(cps, LIMIT - 1)]
+    sharp = small == 0xDF  # two letters, as in capitals
+    if sharp.any():
+        times = 1 + sharp
+        at = np.zeros(len(cps) + 1, np.int64)
+        np.cumsum(times, out=at[1:])
+        small, offsets = np.repeat(np.where(sharp, ord("s"), small), times), at[offsets]
     is_word = inside[small]
     where = np.flatnonzero(is_word)
     if not len(where):
@@ -76,18 +85,16 @@ def _plain_words(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     bounds = np.searchsorted(where, offsets[1:-1])
     fresh[bounds[bounds < len(where)]] = True
     start = np.flatnonzero(fresh)
-    size = np.diff(np.r_[start, len(where)])
-    rank = np.arange(len(where)) - np.repeat(start, size)
+    rank = np.arange(len(where)) - np.repeat(start, np.diff(np.r_[start, len(where)]))
     power = _powers()
     with np.errstate(over="ignore"):
-        value = mix[small[where]] * power[np.minimum(rank, len(power) - 1)]
-        sharp = small[where] == 0xDF
-        if sharp.any():  # as in capitals
-            value[sharp] = (mix[ord("s")] * power[np.minimum(rank[sharp], len(power) - 1)]) * np.uint64(3)
-        key = np.add.reduceat(value, start)
-    number = digit[small[where[start]]]
+        far = rank >= len(power)
+        weight = power[np.where(far, rank % len(power), rank)]
+        if far.any():  # longer runs than there are powers: every place keeps a weight of its own
+            weight = weight + (rank // len(power)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C16)
+        key = np.add.reduceat(mix[small[where]] * weight, start)
     first = where[start]
-    return key, number, np.searchsorted(first, offsets)
+    return key, digit[small[first]], np.searchsorted(first, offsets)
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,7 +269,7 @@ def literal_words(items: DataFrame) -> np.ndarray:
     return np.array([r[0] for r in found.select("word").collect()], np.int64).view(np.uint64)  # bounded by the vocabulary
 
 
-def find_leaks(documents: DataFrame, eval_items: DataFrame, *, least_words: int = 24, per_edit: int = 10, reparameterised: bool = False, block: int = 5_000) -> DataFrame:
+def find_leaks(documents: DataFrame, eval_items: DataFrame, *, least_words: int = 24, per_edit: int = 10, reparameterised: bool = False, block: int = 40_000, most_words: int = 4_000_000) -> DataFrame:
     """Every document that holds a passage of an item: (doc_id, item_id, kind, words, edits), a row for each pair and kind.
 
     kind is ``verbatim`` (at most one word in ``per_edit`` differs) or, where
@@ -270,7 +277,8 @@ def find_leaks(documents: DataFrame, eval_items: DataFrame, *, least_words: int
     to one; edits counts the slots that changed).
     """
     items = eval_items.select(F.col("item_id").cast("bigint"), "text").where("length(text) > 0")
-    blocks = -(-items.count() // block) or 1
+    held = items.agg(F.count("item_id").alias("n"), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"\S+"))), F.lit(0)).alias("words")).first()
+    blocks = max(1, -(-held["n"] // block), -(-held["words"] // most_words))
     literal = literal_words(items)
     out = None
     for b in range(blocks):

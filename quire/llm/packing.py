@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textform import slices
 from .tokens import rank_file, tokenizer
 
 PLACED = "container_id string, place bigint, doc_id bigint, piece_no bigint, token_start bigint, n_tokens bigint, container_offset bigint"
@@ -30,7 +31,7 @@ def token_counts(documents: DataFrame, tokenizer_file: str | None = None) -> Dat
 
     def run(batches):
         count = tokenizer(path).count
-        for batch in batches:
+        for batch in slices(batches, 1):
             sizes = [count(t) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
 

@@ -15,7 +15,8 @@ count once.
 
 from __future__ import annotations
 
-import re
+import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,9 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import hashes, runs
 from .lexicon import COMMON_WORDS, LANGUAGES
+from .textform import LIMIT, codepoints, rows_of, slices
 
 STATISTICS = ("log_words", "word_length", "symbol_ratio", "line_punctuation", "common_share", "variety")
 #: Standard deviations that are added in quadrature, so that a statistic that hardly varies in prose can't dominate.
@@ -31,49 +34,97 @@ LEAST_SPREAD = (0.3, 0.5, 0.025, 0.12, 0.08, 0.035)
 #: Squared distances that 97.5 % and 99.9999 % of six normal statistics stay below.
 USUAL, FAR = 14.45, 38.26
 N = len(STATISTICS)
-WORD = re.compile(r"[^\W\d_]+")
-SYMBOL = re.compile(r"[^\w\s]")
-ENDS = frozenset(".!?…")
-CLOSING = "\"'»”’“)]"
+# Signs that end a sentence, and signs that may stand after them.
+ENDS, CLOSING = ".!?…", "\"'»”’“)]"
 STATS = "doc_id bigint, element_id string, n_chars bigint, n_words bigint, n_lines bigint, lang string, " + ", ".join(f"{s} double" for s in STATISTICS)
 
 
+@lru_cache(1)
+def _tables() -> tuple[np.ndarray, ...]:
+    """For each code point: is it blank, part of a word of letters, a symbol; its small form; does it end or close a sentence."""
+    blank, letter, symbol = (np.zeros(LIMIT, bool) for _ in range(3))
+    small = np.arange(LIMIT, dtype=np.uint32)
+    for cp in range(LIMIT):
+        ch = chr(cp)
+        blank[cp] = ch.isspace()
+        word = ch.isalnum() or ch == "_"
+        letter[cp] = ch.isalnum() and unicodedata.category(ch) != "Nd"
+        symbol[cp] = not word and not blank[cp]
+        if len(ch.lower()) == 1:
+            small[cp] = ord(ch.lower())
+    ends, closing = np.zeros(LIMIT, bool), np.zeros(LIMIT, bool)
+    ends[list(map(ord, ENDS))], closing[list(map(ord, CLOSING))] = True, True
+    return blank, letter, symbol, small, ends, closing
+
+
+@lru_cache(1)
+def _common() -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of common words, sorted, and the languages each belongs to."""
+    words = sorted({w for ws in COMMON_WORDS.values() for w in ws})
+    cps, offsets = codepoints(pa.array(words))
+    keys = hashes(cps, offsets[:-1])
+    masks = np.array([[w in COMMON_WORDS[lang] for lang in LANGUAGES] for w in words])
+    order = np.argsort(keys)
+    return keys[order], masks[order]
+
+
+def text_statistics(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Characters, words and lines of each text, its language's number (-1: none), and its statistics; no step is taken per row."""
+    blank, letter, symbol, lower, ends, closing = _tables()
+    cps, offsets = codepoints(texts)
+    n = len(texts)
+    small = np.minimum(cps, LIMIT - 1)
+    per_row = lambda rows, weights=None: np.bincount(rows, weights, n)
+    solid = ~blank[small]
+    where, start, row = runs(solid, offsets)
+    words, full = per_row(row), per_row(rows_of(where, offsets))
+    symbols = per_row(rows_of(np.flatnonzero(symbol[small]), offsets))
+    # words of letters: common ones by language, and how many differ
+    at, begin, of = runs(letter[small], offsets)
+    key = hashes(lower[small[at]], begin)
+    known, masks = _common()
+    place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    hit = known[place] == key
+    seen = np.stack([per_row(of[hit], masks[place[hit], k]) for k in range(len(LANGUAGES))], axis=1)
+    order = np.lexsort((key, of))
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (np.diff(key[order]) != 0) | (np.diff(of[order]) != 0)
+    spelled, kinds = per_row(of), per_row(of[order[fresh]])
+    # the last sign of each line, closing ones aside
+    line = np.cumsum(small == 0x0A)[where] + rows_of(where, offsets) if len(where) else where
+    last = np.flatnonzero(np.r_[np.diff(line) != 0, True]) if len(where) else where
+    first = np.r_[0, last[:-1] + 1] if len(last) else last
+    spot, floor = where[last], where[first]
+    while True:
+        back = closing[small[spot]] & (spot > floor)
+        if not back.any():
+            break
+        spot = spot - back
+    line_row = rows_of(spot, offsets)
+    lines, ended = per_row(line_row), per_row(line_row, ends[small[spot]])
+    best = seen.argmax(axis=1)
+    most = seen[np.arange(n), best]
+    some = words > 0
+    table = np.zeros((n, N))
+    share = lambda a, b: np.divide(a, b, out=np.zeros(n), where=b > 0)
+    columns = (np.log1p(words), share(full, words), share(symbols, full), share(ended, lines), share(most, words), share(np.log1p(kinds), np.log1p(spelled)))
+    for i, column in enumerate(columns):
+        table[:, i] = np.where(some, column, 0.0)
+    return np.diff(offsets), words, lines, np.where(most > 0, best, -1), table
+
+
 def paragraph_statistics(paragraphs: DataFrame) -> DataFrame:
     """The statistics of every paragraph, once for each (doc_id, element_id)."""
-    masks: dict[str, tuple[int, ...]] = {}
-    for i, lang in enumerate(LANGUAGES):
-        for w in COMMON_WORDS[lang]:
-            masks[w] = masks.get(w, ()) + (i,)
 
     def run(batches):
-        get = masks.get
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            n = len(texts)
-            table = np.zeros((n, N))
-            chars, words_n, lines_n, langs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [""] * n
-            for r, text in enumerate(texts):
-                if not text:
-                    continue
-                words = text.split()
-                chars[r], words_n[r] = len(text), len(words)
-                if not words:
-                    continue
-                solid = sum(map(len, words))
-                letters = WORD.findall(text.lower())
-                seen = [0] * len(LANGUAGES)
-                for hit in filter(None, map(get, letters)):
-                    for i in hit:
-                        seen[i] += 1
-                best = max(range(len(seen)), key=seen.__getitem__)
-                lines = [x for x in (y.rstrip() for y in text.split("\n")) if x]
-                ended = sum(x[-1] in ENDS or (x[-1] in CLOSING and x.rstrip(CLOSING)[-1:] in ENDS) for x in lines)
-                table[r] = (np.log1p(len(words)), solid / len(words), len(SYMBOL.findall(text)) / solid, ended / max(len(lines), 1), seen[best] / len(words), np.log1p(len(set(letters))) / np.log1p(len(letters)) if letters else 0.0)
-                lines_n[r], langs[r] = len(lines), LANGUAGES[best] if seen[best] else ""
-            names = ["doc_id", "element_id"]
+        names = np.array([*LANGUAGES, ""], dtype=object)
+        for batch in slices(batches, "text"):
+            chars, words, lines, lang, table = text_statistics(batch.column(batch.schema.get_field_index("text")))
+            ids = ["doc_id", "element_id"]
+            counts = [pa.array(c.astype(np.int64)) for c in (chars, words, lines)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(c)) for c in names] + [pa.array(chars), pa.array(words_n), pa.array(lines_n), pa.array(langs)] + [pa.array(table[:, i].copy()) for i in range(N)],
-                names=[*names, "n_chars", "n_words", "n_lines", "lang", *STATISTICS],
+                [batch.column(batch.schema.get_field_index(c)) for c in ids] + counts + [pa.array(names[lang], pa.string())] + [pa.array(table[:, i].copy()) for i in range(N)],
+                names=[*ids, "n_chars", "n_words", "n_lines", "lang", *STATISTICS],
             )
 
     source = paragraphs.select(F.col("doc_id").cast("bigint"), "element_id", "text")

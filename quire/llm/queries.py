@@ -86,6 +86,11 @@ def p4_quality(spark: SparkSession, d: str) -> DataFrame:
     return document_quality(_paragraphs(spark, d))
 
 
+def p4_block_quality(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the text blocks of every document, table residue and margins included."""
+    return document_quality(table(spark, d, "blocks", "doc_id", F.col("block_id").alias("element_id"), F.col("raw_text").alias("text")))
+
+
 def _read_texts(spark: SparkSession, d: str) -> DataFrame:
     blocks = table(spark, d, "blocks", "doc_id", "block_id", "raw_text").select(F.lit("raw_text").alias("field_name"), F.col("doc_id").cast("bigint"), F.col("block_id").alias("record_id"), F.col("raw_text").alias("text"))
     elements = table(spark, d, "elements", "doc_id", "element_id", "text").select(F.lit("element_text").alias("field_name"), F.col("doc_id").cast("bigint"), F.col("element_id").alias("record_id"), "text")
@@ -153,7 +158,7 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        p1_found, p1_removed_lines, p1_cleaned, p2_found, p2_canonical, p4_found, p4_quality, p5_found, p5_restored,
+        p1_found, p1_removed_lines, p1_cleaned, p2_found, p2_canonical, p4_found, p4_quality, p4_block_quality, p5_found, p5_restored,
         p6_found, p6_documents, p6_segments, p7_containers, p7_fill, p8_found, p8_leaks, p9_pieces,
     )}
 

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textform import slices
 from .tokens import Tokenizer, rank_file, tokenizer
 
 PIECES = "doc_id bigint, piece_no bigint, start bigint, length bigint, n_tokens bigint, overlap_tokens bigint, cut string, piece string"
@@ -40,7 +41,6 @@ HEADING = (
 )
 SECTION_LINE = re.compile(rf"(?i)[ \t]*(?:\d+[.)]?[ \t]*)?{HEADING}\b[^\n]{{0,20}}")
 CLAIM_START = re.compile(rb"[ \t]*\d{1,3}[ \t]*[.)][ \t]")
-FEATURES = 128
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\r\n")] = True
 DIGITS = frozenset(b"0123456789")
@@ -88,23 +88,45 @@ def boundaries(data: bytes, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both, kinds[first]
 
 
-def valley_depths(features: np.ndarray, content: np.ndarray, token_cut: np.ndarray, block: int = 4) -> np.ndarray:
+def valley_depths(terms: np.ndarray, content: np.ndarray, token_cut: np.ndarray, block: int = 4) -> np.ndarray:
     """How deep the lexical similarity dips at each boundary, against the peaks on both sides.
 
-    content: the tokens that carry meaning; features: a feature of each of them.
+    content: the tokens that carry meaning; terms: what each of them is.  Blocks
+    of ``block`` units on both sides are compared by the cosine of their counts.
+    It is put together from the products of units up to ``2 * block - 1`` apart,
+    each a match of sorted (unit, term) pairs, so memory grows with the text and
+    not with its boundaries times its words.
     """
     n = len(token_cut)
     if n == 0:
         return np.zeros(0)
-    unit = np.searchsorted(token_cut, content, side="right") + 1
-    counts = np.bincount(unit * FEATURES + features, minlength=(n + 2) * FEATURES).reshape(n + 2, FEATURES).astype(np.float32)
-    running = np.cumsum(counts, axis=0)
-    i = np.arange(1, n + 1)
-    left = running[i] - running[np.maximum(i - block, 0)]
-    right = running[np.minimum(i + block, n + 1)] - running[i]
-    dot = np.einsum("ij,ij->i", left, right)
-    norm = np.sqrt(np.einsum("ij,ij->i", left, left) * np.einsum("ij,ij->i", right, right))
-    similarity = np.where(norm > 0, dot / np.maximum(norm, 1e-9), 0.0)
+    unit = np.searchsorted(token_cut, content, side="right")
+    _, term = np.unique(terms, return_inverse=True)
+    width = int(term.max()) + 1 if len(term) else 1
+    keys, counts = np.unique(unit.astype(np.int64) * width + term, return_counts=True)
+    counts = counts.astype(float)
+    products = []  # of each unit with the one k units on
+    for k in range(2 * block):
+        at = np.minimum(np.searchsorted(keys, keys + k * width), len(keys) - 1) if len(keys) else keys
+        same = np.where(keys[at] == keys + k * width, counts * counts[at], 0.0) if len(keys) else counts
+        products.append(np.bincount(keys // width, same, n + 1 + 2 * block) if len(keys) else np.zeros(n + 1 + 2 * block))
+
+    def total(k: int, start: int, many: int) -> np.ndarray:
+        """Sum of products k apart of ``many`` units from ``start`` units after each boundary's last one on its left."""
+        running = np.r_[0.0, np.cumsum(products[k])]
+        lo, hi = np.clip(np.arange(n) + start, 0, n + 1), np.clip(np.arange(n) + start + many, 0, n + 1)
+        return running[hi] - running[lo]
+
+    dot, left, right = np.zeros(n), np.zeros(n), np.zeros(n)
+    for k in range(1, 2 * block):  # units i - a and i + b with a + b = k: a from 0, b from 1, both within their blocks
+        first, last = max(0, k - block), min(block - 1, k - 1)
+        dot += total(k, -last, last - first + 1)
+    for k in range(block):
+        twice = 1.0 if k == 0 else 2.0
+        left += twice * total(k, 1 - block, block - k)
+        right += twice * total(k, 1, block - k)
+    norm = np.sqrt(np.maximum(left, 0) * np.maximum(right, 0))
+    similarity = np.where(norm > 1e-9, dot / np.maximum(norm, 1e-9), 0.0)
     return _climb(similarity) + _climb(similarity[::-1])[::-1] - 2 * similarity
 
 
@@ -136,7 +158,7 @@ def cut_text(text: str, tok: Tokenizer, limit: int, overlap: int, least: float)
     exact = start_byte[token_cut] == cuts
     cuts, kinds, token_cut = cuts[exact], kinds[exact], token_cut[exact]
     content = np.flatnonzero(size_of >= 4)
-    depth = valley_depths(tok.feature[ids[content]], content, token_cut) + BONUS[kinds]
+    depth = valley_depths(ids[content], content, token_cut) + BONUS[kinds]
     pieces: list[tuple[int, int, int, int, str]] = []
     begin, shared = 0, 0
     while True:
@@ -204,7 +226,7 @@ def split_documents(documents: DataFrame, *, limit: int = 512, overlap: int = 64
 
     def run(batches):
         tok = tokenizer(path)
-        for batch in batches:
+        for batch in slices(batches, 1):
             out: list[tuple] = []
             size = 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -43,7 +43,9 @@ INVISIBLE_EXTRA = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0)
 VARIATION_SELECTORS = ((0x180B, 0x180D), (0x180F, 0x180F), (0xFE00, 0xFE0F), (0xE0100, 0xE01EF))
 # What ends a line besides the usual line ends (\n is put in their place).
 LINE_ENDS = (0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029)
-LETTER_LOOKALIKE_RANGES = ((0xFF01, 0xFF5E), (0xFFE0, 0xFFE6), (0xFB00, 0xFB06), (0x2160, 0x217F))
+LETTER_LOOKALIKE_RANGES = ((0xFF01, 0xFF5E), (0xFF61, 0xFF9F), (0xFFE0, 0xFFE6), (0xFB00, 0xFB06), (0x2160, 0x217F))
+# Latin letters of other styles that print like ordinary ones.
+LATIN_LOOKALIKES = {"ɑ": "a", "ɡ": "g"}
 
 
 class Tables:
@@ -60,6 +62,8 @@ class Tables:
         expansions: dict[int, str] = {}
         for cp in range(n):
             cat = unicodedata.category(chr(cp))
+            if cat[0] == "M":
+                self.combining[cp] = unicodedata.combining(chr(cp))
             if cp in LINE_ENDS:
                 self.first[cp] = 0x0A
             elif cat == "Cf" or (cat == "Cc" and cp not in (0x09, 0x0A, 0x0D)) or cp in INVISIBLE_EXTRA or any(lo <= cp <= hi for lo, hi in VARIATION_SELECTORS):
@@ -75,13 +79,13 @@ class Tables:
                 self.first[cp] = 0x20
                 continue
             if cat[0] == "M":
-                self.combining[cp] = unicodedata.combining(ch)
                 continue
             decomposition = unicodedata.decomposition(ch)
             if any(lo <= cp <= hi for lo, hi in LETTER_LOOKALIKE_RANGES) or decomposition.startswith("<font>"):
                 expansions[cp] = unicodedata.normalize("NFKC", ch)
             elif decomposition and decomposition[0] != "<" and " " not in decomposition:
                 expansions[cp] = unicodedata.normalize("NFC", ch)
+        expansions |= {ord(a): b for a, b in LATIN_LOOKALIKES.items()}
         for cp in range(0x41, LIMIT):
             if 0x0600 <= cp < 0x1E00 or 0x2070 <= cp:
                 if not (0x1E00 <= cp < 0x2000 or 0x2C60 <= cp < 0x2C80 or 0xA720 <= cp < 0xA800):
@@ -104,7 +108,7 @@ class Tables:
         self.changes = (self.length != 1) | (self.first != np.arange(n, dtype=np.uint32))
         # composition of a base and a mark
         keys, values = [], []
-        for cp in range(0xC0, 0x2000):
+        for cp in range(0xC0, LIMIT):
             d = unicodedata.decomposition(chr(cp))
             if d and d[0] != "<" and " " in d and unicodedata.normalize("NFC", chr(cp)) == chr(cp):
                 base, mark = (int(x, 16) for x in d.split())
@@ -219,25 +223,54 @@ def _expand(t: Tables, cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
     return out, start[offsets], flags
 
 
-def _compose(t: Tables, cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Compose marks with the letters before them, as long as a pair can be composed."""
+def _in_order(t: Tables, cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of one letter in the order of their classes, as the order of those of different classes can't be seen; also which rows changed."""
     flags = np.zeros(len(offsets) - 1, bool)
+    classes = t.combining[np.minimum(cps, REACH - 1)]
+    marks = np.flatnonzero(classes)
+    if len(marks) < 2:
+        return cps, flags
+    row = rows_of(marks, offsets)
+    joined = (np.diff(marks) == 1) & (np.diff(row) == 0)
+    of = classes[marks].astype(np.int64)
+    wrong = joined & (np.diff(of) < 0)
+    if not wrong.any():
+        return cps, flags
+    run = np.r_[0, np.cumsum(~joined)]
+    order = np.lexsort((np.arange(len(marks)), of, run))
+    moved = order != np.arange(len(marks))
+    cps = cps.copy()
+    cps[marks] = cps[marks[order]]
+    flags[row[moved]] = True
+    return cps, flags
+
+
+def _compose(t: Tables, cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Compose marks with the letters before them, as long as a pair can be composed.
+
+    A mark reaches its letter over others of lower class.  In each round a letter takes one mark.
+    """
+    cps, flags = _in_order(t, cps, offsets)
     while True:
-        marks = np.flatnonzero(t.combining[np.minimum(cps, REACH - 1)] > 0)
-        if len(marks):
-            starts = np.isin(marks, offsets[:-1])
-            marks = marks[~starts]
+        classes = t.combining[np.minimum(cps, REACH - 1)]
+        marks = np.flatnonzero(classes)
         if not len(marks):
             break
-        key = cps[marks - 1].astype(np.int64) << 21 | cps[marks].astype(np.int64)
+        letter = np.maximum.accumulate(np.where(classes == 0, np.arange(len(cps)), -1))[marks]
+        held = letter >= offsets[rows_of(marks, offsets)]
+        near = letter == marks - 1
+        free = near | (classes[np.maximum(marks - 1, 0)] < classes[marks])
+        marks, letter = marks[held & free], letter[held & free]
+        key = cps[letter].astype(np.int64) << 21 | cps[marks].astype(np.int64)
         at = np.minimum(np.searchsorted(t.pair_keys, key), len(t.pair_keys) - 1)
         hit = t.pair_keys[at] == key
         if not hit.any():
             break
-        where, value = marks[hit], t.pair_values[at[hit]]
+        base, first = np.unique(letter[hit], return_index=True)
+        where, value = marks[hit][first], t.pair_values[at[hit]][first]
         flags[rows_of(where, offsets)] = True
         cps = cps.copy()
-        cps[where - 1] = value
+        cps[base] = value
         keep = np.ones(len(cps), bool)
         keep[where] = False
         kept = np.zeros(len(cps) + 1, np.int64)

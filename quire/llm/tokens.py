@@ -39,8 +39,6 @@ class Tokenizer:
             self.length[i] = len(b)
             self.opens[i] = b[:1] in (b" ", b"\n")
 
-        #: one of 128 features for counting words
-        self.feature = (np.arange(size, dtype=np.int64) * 2654435761 % 4294967296) >> 25
         self.known: dict[str, np.ndarray] = {}
         self.room = MEMORY
 

@@ -321,3 +321,61 @@ def test_tokens_by_line_are_those_of_the_text():
     for _ in range(300):
         t = "".join(rng.choice(["ab", "C", " ", "  ", "\n", "\n\n", "\r\n", "\t", "1", ".", "é", "'s"]) for _ in range(rng.randint(1, 40)))
         assert tok.encode(t).tolist() == tok.encoding.encode_ordinary(t)
+
+
+def test_marks_in_any_order():
+    for text in ("a\u0302\u0323", "a\u0323\u0302", "か\u3099", "q\u0323\u0307", "e\u0327\u0301x", "u\u0308\u0304", "ﾊﾟ", "ｶﾞ"):
+        new, flags = textform.canonical_array(pa.array([text, "plain"]))
+        assert new.to_pylist() == [unicodedata.normalize("NFC", unicodedata.normalize("NFKC", text)), "plain"] and flags.tolist() == [text != new[0].as_py(), False], ascii(text)
+    rng = random.Random(12)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "o", "s", " ", "\u0301", "\u0302", "\u0323", "\u0327", "\u0308"]) for _ in range(12))
+        assert textform.canonical_array(pa.array([text]))[0].to_pylist() == [unicodedata.normalize("NFC", text)], ascii(text)
+
+
+def test_question_marks_of_addresses(repairer):
+    for clean in ("see https://site.org/page?id=3 for it", "the page?id=3&x=1 of it", "www.site.org/is?it", "is it? yes"):
+        assert not check(repairer, clean)[0], clean
+    assert check(repairer, "Die L?ngsachse und https://a.b/c?d=1")[::2] == (True, False)
+
+
+def test_words_with_sharp_s():
+    key = lambda t: leakage.words(pa.array([t]))[0].tolist()
+    assert key("straße maß") == key("STRASSE MASS") == key("STRAẞE, Maß") and key("strase") != key("straße")
+    long = "a" * 5000
+    assert key(long + "bc") != key(long + "cb")
+
+
+def test_shares_of_any_corpus():
+    shares = language.training_shares({"en": 10**10, "ru": 10}, 2 * 10**10, 6 * 10**11, 20_000)
+    assert 0 < shares["en"] < 1e-6 and shares["en"] * 3 * 10**11 > 2_000 and shares["ru"] == 1.0
+    assert language.training_shares({}, 0, 0, 20_000) == {}
+
+
+def test_cohesion_against_dense_counts():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        n, m = int(rng.integers(1, 25)), int(rng.integers(0, 200))
+        content, terms = np.sort(rng.integers(0, 300, m)), rng.integers(0, 12, m)
+        cut = np.sort(rng.choice(300, n, replace=False))
+        unit = np.searchsorted(cut, content, side="right")
+        counts = np.zeros((n + 1, 12))
+        np.add.at(counts, (unit, terms), 1)
+        sims = []
+        for i in range(n):
+            a, b = counts[max(0, i - 3) : i + 1].sum(axis=0), counts[i + 1 : i + 5].sum(axis=0)
+            sims.append(a @ b / np.sqrt(a @ a * (b @ b)) if a.any() and b.any() else 0.0)
+        sims = np.array(sims)
+        up = lambda s: splitting._climb(s)
+        assert np.allclose(splitting.valley_depths(terms, content, cut), up(sims) + up(sims[::-1])[::-1] - 2 * sims)
+
+
+def test_statistics_against_plain_counts():
+    texts = ["", None, "x" * 40_000, 'He said: "It is not a list."\nAnd 12 of them!', "a.\n\nb!\" \n c)] ", " \n ", "«Ja.»", "1 2 3"]
+    chars, words, lines, lang, table = quality.text_statistics(pa.array(texts))
+    plain = [t or "" for t in texts]
+    assert chars.tolist() == [len(t) for t in plain] and words.tolist() == [len(t.split()) for t in plain]
+    assert lines.tolist() == [sum(bool(x.strip()) for x in t.split("\n")) for t in plain]
+    ended = [0, 0, 0, 2, 2, 0, 1, 0]
+    assert np.allclose(table[:, 3] * lines, ended) and lang[3] == 0 and lang[2] == -1
+    assert np.allclose(table[:, 1] * words, [sum(map(len, t.split())) for t in plain])
