@@ -1,8 +1,8 @@
 """Tables of contents: pages, entries and their targets.
 
 What a line can be read as depends only on the line and the one after it, so
-all readings are computed side by side and a fold merely walks over them,
-skipping the lines an entry used and stopping at the first that is no entry.
+all readings are computed side by side, and which of them count is seen from a
+string of signs, one for each line.
 """
 
 from __future__ import annotations
@@ -64,18 +64,15 @@ def block_entries(text: Column) -> Column:
     """Entries of a block as array<struct<title, toc_level, page_label>>; empty where it has none."""
     ls = lines(text)
     read = F.zip_with(ls, F.concat(after_first(ls), F.array(F.lit(None).cast("string"))), _reading)
-    cleaned = F.transform(read, lambda r, i: F.struct(i.alias("i"), r["used"].alias("used"), _clean(r["title"]).alias("title"), r["label"].alias("label")))
+    cleaned = F.transform(read, lambda r: F.struct(r["used"].alias("used"), _clean(r["title"]).alias("title"), r["label"].alias("label")))
     empty = F.array().cast("array<struct<title:string,label:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def walk(state: Column, r: Column) -> Column:
-        good = (r["used"] > 0) & (r["title"] != "") & (F.length(r["title"]) <= LONGEST)
-        more = F.array_append(state["out"], F.struct(r["title"].alias("title"), r["label"].alias("label")))
-        return F.when(state["at"] != r["i"], state).otherwise(
-            F.struct(F.when(good | (r["used"] < 0), r["i"] + F.abs(r["used"])).otherwise(-1).cast("int").alias("at"), F.when(good, more).otherwise(state["out"]).alias("out"))
-        )
-
-    walked = F.aggregate(cleaned, start, walk, lambda s: s["out"])
+    # the walk as one string, a sign for each line: what is used with the line before it is marked, and it ends at the first line that is no entry
+    good = lambda r: (r["used"] > 0) & (r["title"] != "") & (F.length(r["title"]) <= LONGEST)
+    sign = lambda r: F.when(r["used"] < 0, "h").when(good(r), r["used"].cast("string")).otherwise("0")
+    signs = F.regexp_replace(F.array_join(F.transform(cleaned, sign), ""), "2[012h]", "2-")
+    taken = F.split(F.substring_index(signs, "0", 1), "")
+    met = F.zip_with(cleaned, taken, lambda r, c: F.when(c.isin("1", "2"), F.struct(r["title"].alias("title"), r["label"].alias("label"))))
+    walked = F.filter(met, lambda e: e.isNotNull())
     first, rest = F.get(ls, F.lit(0)), F.array_join(after_first(ls), " ")
     merged = _undot(F.array_join(ls, " "))
     g = F.regexp_extract
@@ -98,7 +95,7 @@ def with_entries(flat: DataFrame, *, heading_line: bool = False) -> DataFrame:
     With ``heading_line`` the heading may be the first line of a block of entries.
     """
     text = F.col("raw_text")
-    # only blocks that end or begin with a number can hold entries; the test spares the fold for the rest
+    # only blocks that end or begin with a number can hold entries; the test spares the readings of the rest
     may_be = text.rlike(r"(?m)\d\s*$|^\s*\d")
     heading = F.substring_index("raw_text", "\n", 1) if heading_line else text
     return flat.withColumn("entries", F.when(may_be, block_entries(text))).withColumns({

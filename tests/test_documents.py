@@ -310,3 +310,46 @@ def test_language_of_books(spark):
         with zipfile.ZipFile(io.BytesIO(book)) as z:
             assert f"<dc:language>{language}</dc:language>" in z.read("book/package.xml").decode()
             assert all(f'xml:lang="{language}"' in z.read(f"book/{n}").decode() for n in ("contents.xhtml", "body.xhtml"))
+
+
+def test_run_cells(spark):
+    """Cells of tables, from what is told of wrapped lines, status words and slots."""
+    cases = {
+        "Feld | Inhalt | Stand\nEin Name | offen | Es läuft": [[["Feld", "Inhalt", "Stand"]], [["Ein Name", "offen", "Es", "läuft"]]],
+        "A | B | C\neins zwei | hoch | drei": [[["A", "B", "C"]], [["eins", "zwei", "hoch", "drei"]]],
+        "A | B\neins | zwei drei": [[["A"], ["B"]], [["eins"], ["zwei", "drei"]]],
+        "Decision Criteria | X\na | Umsatz": [[["Decision", "Criteria", "X"]], [["a"], ["Um-", "satz"]]],
+        "Feld | Wert\nx | tor": [[["Fel", "d", "Wert"]], [["x"], ["to", "r"]]],
+        "allein\na b | c": [[["allein"]], [["a b"], ["c"]]],
+    }
+    rows = []
+    for i, bands in enumerate(cases.values()):
+        rows.append((i, [(b, float(x), 10 * b + x, ls) for b, band in enumerate(bands) for x, ls in enumerate(band)]))
+    df = spark.createDataFrame(rows, "i int, blocks array<struct<band_no:int,x0:double,read_seq:int,lines:array<string>>>")
+    assert [r.t for r in df.select("i", grids.run_text(F.col("blocks")).alias("t")).orderBy("i").collect()] == [*cases]
+
+
+def test_recovery_warnings(spark):
+    page0 = [("t", 0, "Inhalt", 40, 80, 540, 100)] + [(f"e{i}", 0, f"Kapitel {i} ........ {i + 2}", 40, 110 + 20 * i, 540, 125 + 20 * i) for i in range(3)]
+    r = Recovery(make(spark, [*page0, ("x", 2, "Text.", 40, 200, 540, 220)], 600.0, 800.0), spark.createDataFrame([(1, "s", None, 4)], DOCS))
+    got = sorted((w.code, w.page_index if w.page_index is not None else -1, w.times) for w in r.warnings.collect())
+    assert got == [("image_or_no_text_pages_present", -1, 1), ("page_has_no_native_text", 1, 1), ("page_has_no_native_text", 3, 1), ("toc_entry_unresolved", 0, 2), ("toc_links_not_resolved", 0, 1)]
+
+
+def test_long_arrays_are_whole(spark):
+    text = "\n".join(f"line {i}" for i in range(120_000))
+    r = recover(spark, [("a", 0, text, 40, 100, 260, 390)])
+    assert r.paragraphs.first().text == " ".join(f"line {i}" for i in range(120_000))
+
+
+def test_faults_of_the_command_line(spark, tmp_path):
+    from quire.__main__ import main
+
+    assert main(["convert", str(tmp_path / "none"), "--out", str(tmp_path / "o"), "--report", str(tmp_path / "r")]) == 1
+    assert '"input_missing"' in (tmp_path / "r" / "error.json").read_text()
+    src = tmp_path / "in"
+    make(spark, body_and(["1", "2", "3"])).write.parquet(str(src / "blocks.parquet"))
+    spark.createDataFrame([(1, "s", {"title": "T"}, 3)], DOCS).write.parquet(str(src / "doc_ir.parquet"))
+    assert main(["convert", str(src), "--out", str(tmp_path / "books"), "--files"]) == 0
+    with zipfile.ZipFile(tmp_path / "books" / "1.epub") as z:
+        assert z.testzip() is None and "book/body.xhtml" in z.namelist()
