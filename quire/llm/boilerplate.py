@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from ..sources.shared import written
 from .textform import LIMIT, canonical_codepoints, codepoints, slices, subset, suspicious_rows
 
 PLACE = ("site", "doc_id", "block_id", "page_index", "x0", "y0", "y1")
