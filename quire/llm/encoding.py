@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textform import codepoints, rows_of, slices
+from .hashing import hashes, runs
+from .textform import codepoints, rows_of, slices, subset
 
 REPLACEMENT = 0xFFFD
 # Character classes for pairs: code points one by one in these ranges, the rest by blocks of 256.
@@ -240,6 +241,7 @@ def _one_script(text: str) -> bool:
 
 MIXED = re.compile(r"(?:(?![\u0400-\u04ff])[^\W\d_])[\u0400-\u04ff]|[\u0400-\u04ff](?:(?![\u0400-\u04ff])[^\W\d_])")
 BLANK = " \t\r\n"
+_BLANKS = np.array([ord(c) for c in BLANK], np.uint32)
 LETTERS = re.compile(r"[^\W\d_]+")
 NOT_LETTERS_HIGH = re.compile(r"[^\x00-\x7f\w]")
 
@@ -251,6 +253,7 @@ class Repairer:
         self.model, self.least_gain, self.least_per_char, self.natural, self.memory = model, least_gain, least_per_char, natural, memory
         self.words: dict[str, str | None] = {}
         self.gains: dict[str, np.ndarray | None] = {}
+        self.verdicts: dict[int, bool] = {}
 
     def word(self, word: str) -> str | None:
         """A word whose bytes were read one by one, restored; None if it isn't one."""
@@ -282,6 +285,29 @@ class Repairer:
             self.gains[word] = result
         return self.gains[word]
 
+    def doubtful(self, cps: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The rows that hold a word which some mapping might restore; in all others ``run`` changes nothing.
+
+        Words are hashed for the whole batch, and each is judged once.
+        """
+        where, start, row = runs(~np.isin(cps, _BLANKS), offsets)
+        if not len(start):
+            return row
+        high = np.logical_or.reduceat(cps[where] >= 0x80, start)
+        key, at, size = hashes(cps[where], start)[high], start[high], np.diff(np.r_[start, len(where)])[high]
+        kinds, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        verdict = np.zeros(len(kinds), bool)
+        for i, (k, a, n) in enumerate(zip(kinds.tolist(), at[first].tolist(), size[first].tolist())):
+            known = self.verdicts.get(k)
+            if known is None:
+                if len(self.verdicts) >= self.memory:
+                    self.verdicts.clear()
+                begin = where[a]
+                word = cps[begin : begin + n].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+                known = self.verdicts[k] = self.word(word) is not None or self.single(word) is not None
+            verdict[i] = known
+        return np.unique(row[high][verdict[inverse]])
+
     def run(self, run: str) -> str | None:
         """The original of a run of words, or None."""
         parts = re.split(f"([{BLANK}]+)", run)
@@ -352,8 +378,12 @@ def find_garbled(texts: DataFrame, column: str, model: PairModel) -> DataFrame:
             info = shared.value.information(cps)
             high = cps >= 0x80
             odd = np.flatnonzero((info < 0.9) & (high[:-1] | high[1:]))
-            question = np.flatnonzero(cps == 0x3F)
-            row = np.unique(np.r_[rows_of(odd, offsets), rows_of(question, offsets)])
+            improbable = np.unique(rows_of(odd, offsets))
+            part, part_offsets = subset(cps, offsets, improbable)
+            # question marks that stand between letters, and signs in place of what was lost
+            lost = np.flatnonzero((cps[1:-1] == 0x3F) & (cps[:-2] > 0x40) & (cps[2:] > 0x40)) + 1
+            lost = np.r_[lost, np.flatnonzero(cps == REPLACEMENT)]
+            row = np.unique(np.r_[improbable[repairer.doubtful(part, part_offsets)], rows_of(lost, offsets)])
             at, restored, whole = [], [], []
             for r in row.tolist():
                 s, e = offsets[r], offsets[r + 1]
