@@ -20,6 +20,7 @@ the same doc_id all are cut.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -88,45 +89,53 @@ def boundaries(data: bytes, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both, kinds[first]
 
 
+@lru_cache(4)
+def _sums(block: int) -> tuple[np.ndarray, ...]:
+    """The sums of products that cosines at a boundary are made of: units apart, first unit, number of units, weight, and which of dot, left and right.
+
+    Counted from the last unit on the left of the boundary: units a before it and
+    b after it stand a + b apart, both a and b within their blocks.
+    """
+    rows = [(k, -min(block - 1, k - 1), min(block - 1, k - 1) - max(0, k - block) + 1, 1.0, 0) for k in range(1, 2 * block)]
+    rows += [(k, start, block - k, 2.0 - (k == 0), side) for side, start in ((1, 1 - block), (2, 1)) for k in range(block)]
+    return tuple(np.array(c) for c in zip(*rows))
+
+
 def valley_depths(terms: np.ndarray, content: np.ndarray, token_cut: np.ndarray, block: int = 4) -> np.ndarray:
     """How deep the lexical similarity dips at each boundary, against the peaks on both sides.
 
     content: the tokens that carry meaning; terms: what each of them is.  Blocks
     of ``block`` units on both sides are compared by the cosine of their counts.
-    It is put together from the products of units up to ``2 * block - 1`` apart,
-    each a match of sorted (unit, term) pairs, so memory grows with the text and
-    not with its boundaries times its words.
+    It is put together from the products of units up to ``2 * block - 1`` apart:
+    in (term, unit) order these stand as few places apart, so memory grows with
+    the text and not with its boundaries times its words.
     """
-    n = len(token_cut)
+    n, reach = len(token_cut), 2 * block
     if n == 0:
         return np.zeros(0)
-    unit = np.searchsorted(token_cut, content, side="right")
-    _, term = np.unique(terms, return_inverse=True)
-    width = int(term.max()) + 1 if len(term) else 1
-    keys, counts = np.unique(unit.astype(np.int64) * width + term, return_counts=True)
-    counts = counts.astype(float)
-    products = []  # of each unit with the one k units on
-    for k in range(2 * block):
-        at = np.minimum(np.searchsorted(keys, keys + k * width), len(keys) - 1) if len(keys) else keys
-        same = np.where(keys[at] == keys + k * width, counts * counts[at], 0.0) if len(keys) else counts
-        products.append(np.bincount(keys // width, same, n + 1 + 2 * block) if len(keys) else np.zeros(n + 1 + 2 * block))
-
-    def total(k: int, start: int, many: int) -> np.ndarray:
-        """Sum of products k apart of ``many`` units from ``start`` units after each boundary's last one on its left."""
-        running = np.r_[0.0, np.cumsum(products[k])]
-        lo, hi = np.clip(np.arange(n) + start, 0, n + 1), np.clip(np.arange(n) + start + many, 0, n + 1)
-        return running[hi] - running[lo]
-
-    dot, left, right = np.zeros(n), np.zeros(n), np.zeros(n)
-    for k in range(1, 2 * block):  # units i - a and i + b with a + b = k: a from 0, b from 1, both within their blocks
-        first, last = max(0, k - block), min(block - 1, k - 1)
-        dot += total(k, -last, last - first + 1)
-    for k in range(block):
-        twice = 1.0 if k == 0 else 2.0
-        left += twice * total(k, 1 - block, block - k)
-        right += twice * total(k, 1, block - k)
+    width = n + 1 + reach  # wider than there are units, so that terms keep apart
+    keys = np.sort(terms.astype(np.int64) * width + np.searchsorted(token_cut, content, side="right"))
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else keys
+    counts, keys = np.diff(np.r_[first, len(keys)]).astype(float), keys[first]
+    unit = keys % width
+    at, weight = [unit], [counts * counts]
+    for j in range(1, reach):
+        apart = keys[j:] - keys[:-j]
+        near = np.flatnonzero(apart < reach)
+        if not len(near):
+            break
+        at.append(apart[near] * width + unit[near])
+        weight.append(counts[near] * counts[near + j])
+    products = np.bincount(np.concatenate(at), np.concatenate(weight), reach * width).reshape(reach, width)
+    running = np.zeros((reach, width + 1))
+    np.cumsum(products, axis=1, out=running[:, 1:])
+    k, start, many, times, side = _sums(block)
+    begin = np.arange(n) + start[:, None]
+    lo, hi = np.clip(begin, 0, n + 1), np.clip(begin + many[:, None], 0, n + 1)
+    total = (running[k[:, None], hi] - running[k[:, None], lo]) * times[:, None]
+    dot, left, right = (total[side == x].sum(axis=0) for x in range(3))
     norm = np.sqrt(np.maximum(left, 0) * np.maximum(right, 0))
-    similarity = np.where(norm > 1e-9, dot / np.maximum(norm, 1e-9), 0.0)
+    similarity = np.divide(dot, norm, out=np.zeros(n), where=norm > 1e-9)
     return _climb(similarity) + _climb(similarity[::-1])[::-1] - 2 * similarity
 
 
