@@ -104,17 +104,18 @@ class PairModel:
         self.unit = np.log((left + 0.3) / total).astype(np.float32)
         self.known = float(np.log(max(3.0, total * 1.5e-7) / total))
 
-    def _look(self, cps: np.ndarray, values: np.ndarray, missing: float) -> np.ndarray:
-        table, k = classes()
-        c = table[np.minimum(cps, 0x10000)].astype(np.int64)
-        key = c[:-1] * k + c[1:]
-        if not len(self.keys):
-            return np.full(len(key), missing, np.float32)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, values[at], np.float32(missing))
+    @cached_property
+    def table(self) -> np.ndarray:
+        """Information of every pair of classes, some 25 MB; pairs that were never seen have the least."""
+        _, k = classes()
+        table = np.full(k * k, -1.0, np.float32)
+        table[self.keys] = self.info
+        return table
 
     def information(self, cps: np.ndarray) -> np.ndarray:
-        return self._look(cps, self.info, -1.0)
+        table, k = classes()
+        c = table[np.minimum(cps, 0x10000)]
+        return self.table[c[:-1] * np.int32(k) + c[1:]]
 
     @cached_property
     def pair(self) -> dict[str, float]:
