@@ -159,6 +159,18 @@ def oracle_sql(known: dict[str, str], tables: str, segments: str, strip, squeeze
         "xhtml_elements": rf"""{aimed}, {markup(strip, squeeze)} select doc_id, elem_seq, element_id,
             case when item and not before then '<ul class="bullet-list">' || chr(10) else '' end || coalesce(m, '') || case when item and not after then chr(10) || '</ul>' else '' end markup from mk""",
         "quality_report": f"{elems}, {report}",
+        "recovery_warnings": f"""{aimed}, sized_docs as (select doc_id, page_count n from profile),
+            every_page as (select doc_id, unnest(range(n))::integer page_index from sized_docs),
+            blank as (select e.* from every_page e anti join layouts l on l.doc_id = e.doc_id and l.page_index = e.page_index),
+            two as (select doc_id, page_index from layouts where likely_layout = 'possible_multi_column'),
+            said as (
+              select doc_id, 'page_has_no_native_text' code, page_index from blank union all select distinct doc_id, 'image_or_no_text_pages_present', null::integer from blank
+              union all select distinct doc_id, 'possible_multi_column', null::integer from two union all select doc_id, 'possible_multi_column_reading_order_uncertain', page_index from two
+              union all select doc_id, warning, page_index from elems where warning is not null
+              union all select l.doc_id, 'toc_entry_unresolved', t.page_index from led l left join elems t on t.doc_id = l.doc_id and t.element_type = 'toc' where target_id is null
+              union all select doc_id, 'image_not_preserved', page_index from elems where element_type = 'image' and file is null)
+            select doc_id, code, page_index, case when code in ('toc_links_not_resolved', 'toc_entry_unresolved') then 'info' else 'warning' end severity,
+              case when code like '%reading_order%' then 1 when code in ('toc_entry_unresolved', 'image_not_preserved') then 3 when code in ('toc_links_not_resolved', 'table_fallback_used') then 2 else 0 end stage, count(*) times from said group by all""",
         "report_actions": f"select * from (select doc_id, unnest([{listed}], recursive := true) from ({elems}, {report})) where times > 0",
         "verdict": f"select doc_id, quality_score, status, verdict from ({elems}, {report})",
         "highlight_blocks": f"""with {scan}, r as (select doc_id, page_index, min(bbox.x0) a, min(bbox.y0) b, max(bbox.x1) c, max(bbox.y1) d from blocks where is_highlighted group by all)
