@@ -27,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--max-pages", type=int)
         if name == "convert":
             c.add_argument("--report", help="folder for the report of each document, or of what went wrong")
+            c.add_argument("--documents", help="folder for each document as JSON: metadata, elements, entries")
             c.add_argument("--debug-dir")
             c.add_argument("--keep-artifacts", action="store_true")
             c.add_argument("--no-dehyphenate", action="store_true")
@@ -116,6 +117,8 @@ def main(argv: list[str] | None = None) -> int:
                 r.epubs.write.mode("overwrite").parquet(args.out)
             if args.report:
                 write_json(r.report, args.report)
+            if args.documents:
+                write_json(r.documents, args.documents)
             for name, view in debug_views(r).items() if args.debug_dir else ():
                 write_json(view, os.path.join(args.debug_dir, name))
     except Exception as e:

@@ -75,8 +75,8 @@ def _distance(block: dict[str, Column], image: dict[str, Column]) -> tuple[Colum
 
 
 def with_captions(rows: DataFrame) -> DataFrame:
-    """Images without an alternative text get the nearest caption of their page, where one is near."""
-    page = Window.partitionBy("doc_id", "page_index")
+    """Images without an alternative text get the nearest caption of their page, where one is near; other blocks see no captions."""
+    page = Window.partitionBy("doc_id", "page_index", F.col("caption").isNotNull() | (F.col("lane") == IMAGE))
     sides = ("x0", "y0", "x1", "y1")
     rows = rows.withColumn("captions", F.collect_list(F.when(F.col("caption").isNotNull(), F.struct("caption", "block_id", *sides))).over(page))
     here = {s: F.col(s) for s in sides}

@@ -218,6 +218,11 @@ class Recovery:
     def bodies(self) -> DataFrame:
         return self.books.drop("linked")
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """Each document as one nested row, with its metadata, elements and entries."""
+        return sinks.document_rows(self.sorted_rows, self.doc_ir)
+
     @cached_property
     def epubs(self) -> DataFrame:
         return sinks.epubs(self.books, self.packed_images)

@@ -187,6 +187,16 @@ def write_epubs(books: DataFrame, folder: str) -> DataFrame:
     return books.mapInPandas(run, "doc_id bigint, path string, bytes bigint")
 
 
+def document_rows(rows: DataFrame, doc_ir: DataFrame) -> DataFrame:
+    """Each document as one nested row, for interchange: its metadata, and its elements in order with their tables and entries."""
+    table = F.when(F.col("cell_rows").isNotNull(), F.struct("cell_rows", "source_format", F.lit(True).alias("header_row")))
+    element = F.struct(
+        "elem_seq", "element_id", "element_type", "text", "page_index", "confidence", F.when(F.col("warning").isNotNull(), F.array("warning")).alias("warnings"), table.alias("table"), F.col("image_file").alias("image"), "block_ids")
+    docs = document_entries(rows, F.array_sort(F.collect_list(F.when(F.col("shown"), element))).alias("elements")).withColumnRenamed("linked", "toc_entries")
+    known = doc_ir.groupBy("doc_id").agg(F.min_by("metadata", F.coalesce("page_count", F.lit(0))).alias("metadata"), F.max("page_count").alias("page_count"))
+    return known.join(docs, "doc_id", "left").select("doc_id", "page_count", "metadata", "elements", "toc_entries")
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     """Rows as JSON with their nulls kept."""
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))

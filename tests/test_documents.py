@@ -350,6 +350,8 @@ def test_faults_of_the_command_line(spark, tmp_path):
     src = tmp_path / "in"
     make(spark, body_and(["1", "2", "3"])).write.parquet(str(src / "blocks.parquet"))
     spark.createDataFrame([(1, "s", {"title": "T"}, 3)], DOCS).write.parquet(str(src / "doc_ir.parquet"))
-    assert main(["convert", str(src), "--out", str(tmp_path / "books"), "--files"]) == 0
+    assert main(["convert", str(src), "--out", str(tmp_path / "books"), "--files", "--documents", str(tmp_path / "docs")]) == 0
+    one = spark.read.json(str(tmp_path / "docs")).first()
+    assert one.metadata.title == "T" and [e.text for e in one.elements] == [f"Body text of page {p}." for p in range(3)] and one.elements[1].block_ids == ["p1-a"]
     with zipfile.ZipFile(tmp_path / "books" / "1.epub") as z:
         assert z.testzip() is None and "book/body.xhtml" in z.namelist()
