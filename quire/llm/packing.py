@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textform import slices
-from .tokens import rank_file, tokenizer
+from .tokens import shipped, tokenizer
 
 PLACED = "container_id string, place bigint, doc_id bigint, piece_no bigint, token_start bigint, n_tokens bigint, container_offset bigint"
 
 
 def token_counts(documents: DataFrame, tokenizer_file: str | None = None) -> DataFrame:
     """Tokens of every text: (doc_id, n_tokens); 0 for null and empty texts."""
-    path = rank_file(tokenizer_file)
+    path = shipped(documents.sparkSession, tokenizer_file)
 
     def run(batches):
         count = tokenizer(path).count
@@ -87,7 +87,7 @@ def pack(documents: DataFrame, *, capacity: int = 4096, group_size: int = 50_000
 
     Groups are random by doc_id and hold about ``group_size`` texts, so that no
     task sees more, whatever the corpus; each leaves at most a container or two
-    partly empty.
+    partly empty.  Their number is taken from the counts in the files' footers.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")

@@ -20,10 +20,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .hashing import hashes, runs
 from .lexicon import COMMON_WORDS, LANGUAGES
 from .textform import LIMIT, codepoints, rows_of, slices
@@ -184,7 +184,7 @@ def prose_estimates(stats: DataFrame, steps: int = 2) -> Estimates:
 
 def paragraph_distances(paragraphs: DataFrame) -> DataFrame:
     """Every paragraph with its statistics, its squared distance from prose, each statistic's contribution, and whether it is prose."""
-    stats = paragraph_statistics(paragraphs).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = written(paragraph_statistics(paragraphs))  # read again by each step of the estimate
     known = with_contributions(stats, prose_estimates(stats))
     return known.withColumn("is_prose", F.coalesce((F.col("distance") <= FAR) & (F.col("n_words") > 0), F.lit(False)))
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textform import slices
-from .tokens import Tokenizer, rank_file, tokenizer
+from .tokens import Tokenizer, shipped, tokenizer
 
 PIECES = "doc_id bigint, piece_no bigint, start bigint, length bigint, n_tokens bigint, overlap_tokens bigint, cut string, piece string"
 SENTENCE, CLAIM, PARAGRAPH, SECTION = 1, 2, 3, 4
@@ -231,7 +231,7 @@ def split_documents(documents: DataFrame, *, limit: int = 512, overlap: int = 64
     """
     if not 0 <= overlap * 4 <= limit:
         raise ValueError("overlap must be at most a quarter of the limit")
-    path = rank_file(tokenizer_file)
+    path = shipped(documents.sparkSession, tokenizer_file)
 
     def run(batches):
         tok = tokenizer(path)

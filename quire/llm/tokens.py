@@ -7,6 +7,8 @@ import os
 from functools import lru_cache
 
 import numpy as np
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +20,14 @@ def rank_file(path: str | None = None) -> str:
     return path or os.path.join(TOKENIZERS, RANKS)
 
 
+def shipped(spark: SparkSession, path: str | None) -> str:
+    """The path of a rank file, which is sent to all workers, so that those without it find it as well."""
+    path = rank_file(path)
+    if os.path.exists(path):
+        spark.sparkContext.addFile(path)
+    return path
+
+
 #: Characters of lines that a worker remembers.
 MEMORY = 12_000_000
 
@@ -79,5 +89,5 @@ class Tokenizer:
 
 @lru_cache(4)
 def tokenizer(path: str) -> Tokenizer:
-    """One tokenizer per worker and file."""
-    return Tokenizer(path)
+    """One tokenizer per worker and file; the file is taken from where it is, else from what was sent."""
+    return Tokenizer(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
