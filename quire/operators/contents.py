@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CONTENTS_TITLES, SPACE, after_first, fold, lines, page_label, squeeze, strip
+from ..functions.text import CONTENTS_TITLES, EOL, SPACE, after_first, bound, fold, lines, page_label, squeeze, strip
 from .layout import BY_PAGE, CONTENTS, READ
 
 # How entries of contents, their page labels and their numbers are written.
@@ -19,7 +19,8 @@ TRAILING, LEADING = r"^\s*(.+?)\s+(\d{1,4})\s*$", r"^\s*(\d{1,4})\s+(.+?)\s*$"
 SECTION, NUMBERED = r"^\d+(?:\.\d+)*\.?$", r"^\d+(?:\.\d+)*\.?\s+"
 ENTRY = "struct<title:string,toc_level:int,page_label:string>"
 LONGEST = 140
-#: How any of the headings begins; spares the exact test for other texts.
+#: Where numbers of entries stand, and how any of the headings begins; spare the exact tests for other texts.
+MAY_BE = rf"\A{SPACE}*\d|\d{SPACE}*\z|\A{SPACE}*[^{EOL[1:-1]}]*\d{SPACE}*{EOL}"
 MAY_HEAD = rf"(?i)\A{SPACE}*(?:inhalt|contents|table)"
 
 
@@ -40,30 +41,49 @@ def _undot(c: Column) -> Column:
     return F.regexp_replace(c, DOTS, " ")
 
 
-def _reading(line: Column, following: Column) -> Column:
-    """How a line reads: lines used (0: no entry, stop; -1: skipped), title as it stands and page label."""
-    here, after = _undot(line), _undot(following)
-    pair = following.isNotNull() & line.rlike(SECTION)
-    g = F.regexp_extract
+def _read_line(line: Column) -> Column:
+    """What a line says by itself: is it a heading, a number, a page number; and title and label where one of them stands at its end or its start."""
+    here = F.when(line.contains("."), _undot(line)).otherwise(line)
+
+    def of(text: Column) -> Column:
+        g = F.regexp_extract
+        trails = F.struct(g(text, TRAILING, 1).alias("title"), g(text, TRAILING, 2).alias("label"))
+        leads = F.struct(F.when(g(text, LEADING, 2).rlike(NUMBERED), g(text, LEADING, 2)).otherwise("").alias("title"), g(text, LEADING, 1).alias("label"))
+        return F.struct(
+            line.alias("line"), (line.rlike(MAY_HEAD) & _is_heading(line)).alias("heading"), line.rlike(SECTION).alias("section"), line.rlike(r"^\d+$").alias("digits"),
+            F.when(text.rlike(r"\d\s*$"), trails).alias("trails"), F.when(text.rlike(r"^\s*\d"), leads).alias("leads"),
+        )
+
+    return bound(here, of)
+
+
+def _reading(r: Column, after: Column) -> Column:
+    """How a line reads before the next: lines used (0: no entry, stop; -1: skipped), title as it stands and page label."""
 
     def entry(used: int, title: Column | str = "", label: Column | str = "") -> Column:
         return F.struct(F.lit(used).alias("used"), (F.lit(title) if isinstance(title, str) else title).alias("title"), (F.lit(label) if isinstance(label, str) else label).alias("label"))
 
+    has = lambda x, side: F.coalesce(x[side]["title"], F.lit("")) != ""
+    pair = after["line"].isNotNull() & r["section"]
     return (
-        F.when(_is_heading(line), entry(-1))
-        .when(pair & after.rlike(TRAILING), entry(2, F.concat(line, F.lit(" "), g(after, TRAILING, 1)), g(after, TRAILING, 2)))
-        .when(pair & line.rlike(r"^\d+$") & ~_is_heading(following), entry(2, following, line))
+        F.when(r["heading"], entry(-1))
+        .when(pair & has(after, "trails"), entry(2, F.concat(r["line"], F.lit(" "), after["trails"]["title"]), after["trails"]["label"]))
+        .when(pair & r["digits"] & ~after["heading"], entry(2, after["line"], r["line"]))
         .when(pair, entry(0))
-        .when(here.rlike(TRAILING), entry(1, g(here, TRAILING, 1), g(here, TRAILING, 2)))
-        .when(here.rlike(LEADING) & g(here, LEADING, 2).rlike(NUMBERED), entry(1, g(here, LEADING, 2), g(here, LEADING, 1)))
+        .when(has(r, "trails"), entry(1, r["trails"]["title"], r["trails"]["label"]))
+        .when(has(r, "leads"), entry(1, r["leads"]["title"], r["leads"]["label"]))
         .otherwise(entry(0))
     )
 
 
 def block_entries(text: Column) -> Column:
     """Entries of a block as array<struct<title, toc_level, page_label>>; empty where it has none."""
-    ls = lines(text)
-    read = F.zip_with(ls, F.concat(after_first(ls), F.array(F.lit(None).cast("string"))), _reading)
+    return bound(lines(text), _entries)
+
+
+def _entries(ls: Column) -> Column:
+    nothing = "struct<line:string,heading:boolean,section:boolean,digits:boolean,trails:struct<title:string,label:string>,leads:struct<title:string,label:string>>"
+    read = bound(F.transform(ls, _read_line), lambda rs: F.zip_with(rs, F.concat(after_first(rs), F.array(F.lit(None).cast(nothing))), _reading))
     cleaned = F.transform(read, lambda r: F.struct(r["used"].alias("used"), _clean(r["title"]).alias("title"), r["label"].alias("label")))
     empty = F.array().cast("array<struct<title:string,label:string>>")
     # the walk as one string, a sign for each line: what is used with the line before it is marked, and it ends at the first line that is no entry
@@ -95,11 +115,12 @@ def with_entries(flat: DataFrame, *, heading_line: bool = False) -> DataFrame:
     With ``heading_line`` the heading may be the first line of a block of entries.
     """
     text = F.col("raw_text")
-    # only blocks that end or begin with a number can hold entries; the test spares the readings of the rest
-    may_be = text.rlike(r"(?m)\d\s*$|^\s*\d")
+    # entries need a number at an end of the block or of its first line, or below a heading; the test spares the readings of the rest
+    below = text.rlike(MAY_HEAD) & text.rlike(r"(?m)\d\s*$|^\s*\d")
+    may_be = text.rlike(MAY_BE) | below
     heading = F.substring_index("raw_text", "\n", 1) if heading_line else text
     return flat.withColumn("entries", F.when(may_be, block_entries(text))).withColumns({
-        "n_entries": F.coalesce(F.size("entries"), F.lit(0)), "is_heading": heading.rlike(MAY_HEAD) & _is_heading(heading), "leaders": text.contains(".") & text.rlike(DOTS),
+        "n_entries": F.coalesce(F.size("entries"), F.lit(0)), "is_heading": heading.rlike(MAY_HEAD) & _is_heading(heading), "leaders": text.contains(".") & text.rlike(r"\.\s*\.\s*\.\s*\."),
     })
 
 
